@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import neighbours, packing, splitting
+from codelode.llm import leakage, neighbours, packing, splitting, stuffing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _on(table: str, f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(spark.read.parquet(f"{d}/{table}.parquet"))
 
 
+def _leaks(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/bug_instances.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _on("code_chunks", splitting.p1_found),
@@ -24,6 +28,10 @@ def queries() -> dict[str, Query]:
         "p7_found": _on("documents", packing.p7_found),
         "p7_pack": _on("documents", packing.pack_documents),
         "p7_report": lambda s, d: packing.window_report(packing.pack_documents(s.read.parquet(f"{d}/documents.parquet"))),
+        "p8_found": _leaks(leakage.p8_found),
+        "p8_pairs": _leaks(leakage.leaks),
+        "p9_found": _on("documents", stuffing.p9_found),
+        "p9_pages": _on("documents", stuffing.judge_pages),
     }
 
 
