@@ -28,11 +28,16 @@ _OPS = {
     "go": r"\.\.\.|<-|:=|&\^=|&\^|\+\+|--|&&|\|\||<<=|>>=|<<|>>|<=|>=|==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%&|^~!<>=.,:;]",
     "json": r"[,:]",
 }
+_EXP = r"[eE][+-]?\d(?:_?\d)*"
+_DIGITS = r"\d(?:_?\d)*"
+_HEX = r"0[xX]_?[0-9a-fA-F](?:_?[0-9a-fA-F])*"
+_FLOAT = rf"(?:(?:{_DIGITS})?\.{_DIGITS}(?:{_EXP})?|{_DIGITS}\.(?:{_EXP})?|{_DIGITS}{_EXP})"
+#: Decimal numbers do not start with a zero in Python, Java (an octal) and Go (the same).
 _NUM = {
-    "py": r"(?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)",
-    "java": r"(?:0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?[fFdD]?|\d[\d_]*\.?(?:[eE][+-]?\d+)?[fFdDlL]?)",
-    "js": r"(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d+)?|\d(?:_?\d)*(?:n|\.?(?:[eE][+-]?\d+)?))",
-    "go": r"(?:0[xX](?:_?[0-9a-fA-F])+|0[oO]?(?:_?[0-7])+(?![\d.eE])|0[bB](?:_?[01])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d+)?i?|\d(?:_?\d)*\.?(?:[eE][+-]?\d+)?i?)",
+    "py": rf"(?:{_HEX}|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|{_FLOAT}[jJ]?|{_DIGITS}[jJ]|[1-9](?:_?\d)*|0(?:_?0)*)",
+    "java": rf"(?:0[xX][0-9a-fA-F](?:_*[0-9a-fA-F])*[lL]?|0[bB][01](?:_*[01])*[lL]?|{_FLOAT}[fFdD]?|{_DIGITS}[fFdD]|(?:[1-9](?:_*\d)*|0(?:_*[0-7])*)[lL]?)",
+    "js": rf"(?:{_HEX}n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|{_FLOAT}|{_DIGITS}n?)",
+    "go": rf"(?:{_HEX}|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|{_FLOAT}i?|{_DIGITS}i|[1-9](?:_?\d)*|0(?:_?[0-7])*)",
     "json": r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?",
 }
 _ESC = r"\\(?:[btnfrs0-7\"'\\\n]|u+[0-9a-fA-F]{4})"
@@ -69,6 +74,52 @@ OPEN, CLOSE = {"(": ")", "[": "]", "{": "}", "indent": "dedent"}, {")": "(", "]"
 Token = tuple[str, int, int]
 
 
+_WORDS_AFTER = frozenset(["id", "num", "str", "tpl", "(", "[", "{", "this", "new", "null", "true", "false", "None", "True", "False", "-", "not", "lambda", "*", "await", "function", "!", "super"])
+#: Words that are reserved only where the next token (second set) lets them be.
+_CONTEXT = {
+    "js": {"let": frozenset(["id", "[", "{", "async", "of"]), "async": frozenset(["function", "id", "("]), "await": _WORDS_AFTER, "yield": _WORDS_AFTER | {")", ";"}, "of": _WORDS_AFTER},
+    "java": {"record": frozenset(["id"]), "sealed": frozenset(["class", "interface", "abstract"]), "permits": frozenset(["id"]), "yield": frozenset(["id", "num", "str", "new", "true", "false", "null", "this", "!"])},
+    "py": {"match": _WORDS_AFTER, "case": _WORDS_AFTER, "type": frozenset(["id"])},
+}
+
+
+def _contextual(out: list[Token], text: str, lang: str) -> list[Token]:
+    words = _CONTEXT[lang]
+    if not any(w in text for w in words):
+        return out
+    for i, (k, a, b) in enumerate(out):
+        if k != "id" or (w := text[a:b]) not in words or i + 1 == len(out):
+            continue
+        before, after = out[i - 1][0] if i else "nl", out[i + 1][0]
+        if after not in words[w] or before in (".", "?."):
+            continue
+        if lang == "py":
+            # A statement that starts with the word and, but for type, ends in a colon.
+            if before not in ("nl", "indent", "dedent", "^"):
+                continue
+            j = i
+            while j < len(out) and out[j][0] != "nl":
+                j += 1
+            if w != "type" and (out[j - 1][0] != ":" or j == i + 2):
+                continue
+        if w == "of" and before not in ("id", "]", "}"):
+            continue
+        if w == "async" and after == "(":
+            depth, j = 0, i + 1
+            while j < len(out):
+                depth += (out[j][0] == "(") - (out[j][0] == ")")
+                j += 1
+                if not depth:
+                    break
+            if j >= len(out) or out[j][0] not in ("=>", "{"):
+                continue
+        if w in ("let", "record", "permits", "sealed") and before == "id":
+            if w != "permits":
+                continue
+        out[i] = (w, a, b)
+    return out
+
+
 def _template(text: str, at: int) -> int:
     """End of a JavaScript template that starts at ``at``; -1 if it has none."""
     i, depth = at + 1, []
@@ -126,7 +177,7 @@ def lex(text: str, lang: str, comments: bool = False) -> list[Token]:
                     break
                 if broke and depth[-1:] != ["("] and depth[-1:] != ["["] and last in _JS_END:
                     out.append(("nl", pos, pos))
-                out.append(("str", pos, end))
+                out.append(("tpl", pos, end))
                 last, broke, pos = "str", False, end
                 continue
             if c == "/" and last not in _VALUE_END and (m := _REGEX.match(text, pos)):
@@ -165,13 +216,13 @@ def lex(text: str, lang: str, comments: bool = False) -> list[Token]:
         if k == "err" and out and out[-1][0] == "err" and out[-1][2] == start:
             out[-1] = ("err", out[-1][1], pos)
             continue
-        if lang == "java" and k == "err":
-            k = "err"
+        if lang == "js" and last in (".", "?.") and kind == "id":
+            k = "id"
         out.append((k, start, pos))
         last = k
     if lang == "go" and last in _GO_END:
         out.append((";", n, n))
-    return out
+    return _contextual(out, text, lang) if lang in _CONTEXT else out
 
 
 def _lex_python(text: str, comments: bool) -> list[Token]:
@@ -239,7 +290,7 @@ def _lex_python(text: str, comments: bool) -> list[Token]:
         out.append(("nl", n, n))
     for _ in stack[1:]:
         out.append(("dedent", n, n))
-    return out
+    return _contextual(out, text, "py")
 
 
 def _line_empty(out: list[Token]) -> bool:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import leakage, neighbours, packing, splitting, stuffing
+from codelode.llm import leakage, neighbours, packing, splitting, stuffing, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,9 @@ def queries() -> dict[str, Query]:
         "p1_pieces": _on("code_chunks", splitting.split_chunks),
         "p3_found": _on("code_chunks", neighbours.p3_found),
         "p3_neighbours": _on("code_chunks", neighbours.chunk_neighbours),
+        "p6_found": _on("source_files", syntax.p6_found),
+        "p6_files": _on("source_files", syntax.invalid_files),
+        "p6_rates": _on("source_files", syntax.syntax_rates),
         "p7_found": _on("documents", packing.p7_found),
         "p7_pack": _on("documents", packing.pack_documents),
         "p7_report": lambda s, d: packing.window_report(packing.pack_documents(s.read.parquet(f"{d}/documents.parquet"))),
