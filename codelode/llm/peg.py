@@ -269,3 +269,74 @@ class Grammar:
     def accepts(self, rule: str, kinds: Sequence[str]) -> bool:
         k = [*kinds, "$end"]
         return self.match(rule, k) == len(k) - 1
+
+    def tree(self, rule: str, kinds: Sequence[str], keep: frozenset[str]) -> list[tuple] | None:
+        """Nodes ``(name, start, end, children)`` of the kept rules in the parse of ``kinds``, or None.
+
+        The parse is followed once more along the memo, so only what was accepted is emitted.
+        """
+        k = [*kinds, "$end"]
+        memo: dict = {}
+        if self.match(rule, k, 0, memo) < 0:
+            return None
+        holds = self._holders(keep)
+        out: list[tuple] = []
+        self._follow(("rule", rule), k, 0, memo, keep, holds, out)
+        return out
+
+    def _holders(self, keep: frozenset[str]) -> frozenset[str]:
+        """Rules in whose matches a kept rule can occur."""
+        got = set(keep)
+        while True:
+            more = {n for n, e in self.rules.items() if n not in got and any(r in got for r in self._names(e))}
+            if not more:
+                return frozenset(got)
+            got |= more
+
+    def _names(self, e) -> set[str]:
+        return {e[1]} if e[0] == "rule" else set().union(*(self._names(x) for x in e[1:] if isinstance(x, tuple)), set())
+
+    def _follow(self, e, k, i, memo, keep, holds, out) -> int:
+        kind = e[0]
+        if kind == "rule":
+            end = self._made[e[1]](k, i, memo)
+            if end < 0 or e[1] not in holds:
+                return end
+            if e[1] in keep:
+                inner: list[tuple] = []
+                self._follow(self.rules[e[1]], k, i, memo, keep, holds, inner)
+                out.append((e[1], i, end, inner))
+            else:
+                self._follow(self.rules[e[1]], k, i, memo, keep, holds, out)
+            return end
+        if kind == "seq":
+            mark = len(out)
+            for x in e[1:]:
+                i = self._follow(x, k, i, memo, keep, holds, out)
+                if i < 0:
+                    del out[mark:]
+                    return -1
+            return i
+        if kind == "alt":
+            for x in e[1:]:
+                mark = len(out)
+                j = self._follow(x, k, i, memo, keep, holds, out)
+                if j >= 0:
+                    return j
+                del out[mark:]
+            return -1
+        if kind in ("star", "plus", "opt"):
+            n = 0
+            while True:
+                mark = len(out)
+                j = self._follow(e[1], k, i, memo, keep, holds, out)
+                if j < 0:
+                    del out[mark:]
+                    break
+                n += 1
+                if j == i or kind == "opt":
+                    i = j
+                    break
+                i = j
+            return -1 if kind == "plus" and not n else i
+        return self._compile(e)(k, i, memo)
