@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import leakage, neighbours, packing, splitting, stuffing, syntax
+from codelode.llm import documented, handwritten, leakage, neighbours, packing, splitting, stuffing, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,12 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _on("code_chunks", splitting.p1_found),
         "p1_pieces": _on("code_chunks", splitting.split_chunks),
+        "p2_found": _on("source_files", documented.p2_found),
+        "p2_pairs": _on("source_files", documented.useful_pairs),
         "p3_found": _on("code_chunks", neighbours.p3_found),
         "p3_neighbours": _on("code_chunks", neighbours.chunk_neighbours),
+        "p4_found": _on("source_files", handwritten.p4_found),
+        "p4_files": _on("source_files", handwritten.judge_files),
         "p6_found": _on("source_files", syntax.p6_found),
         "p6_files": _on("source_files", syntax.invalid_files),
         "p6_rates": _on("source_files", syntax.syntax_rates),
