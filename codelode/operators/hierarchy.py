@@ -142,8 +142,8 @@ def _encode(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ids, cut_lineage(coded)
 
 
-def _doubling(links: DataFrame) -> DataFrame:
-    """TREE_SCHEMA rows where every child has one parent, by doubling parent pointers.
+def _doubling(links: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """TREE_SCHEMA rows where every child has one parent in ``links``, by doubling parent pointers.
 
     Nothing is co-located: each round joins unfinished nodes to the pointers of
     their current ancestor, so a component of any size takes log2(depth) rounds;
@@ -170,18 +170,94 @@ def _doubling(links: DataFrame) -> DataFrame:
     cyc = cyclic.join(on, "node", "left").select(F.col("node").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(1).alias("n_parents"), "cycle_id", F.coalesce("hit", F.lit(False)).alias("on_cycle"))
     tree = cur.where("done").select(F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.element_at("path", 1).alias("root_id"), (F.size("path") - 1).alias("depth"), "path", F.lit(1).alias("n_parents"), F.lit(None).cast("string").alias("cycle_id"), F.lit(False).alias("on_cycle"))
     top = roots.select(F.col("node").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("node").alias("root_id"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(0).alias("n_parents"), F.lit(None).cast("string").alias("cycle_id"), F.lit(False).alias("on_cycle"))
-    return cyc.unionByName(tree).unionByName(top)
+    every = cyc.unionByName(tree).unionByName(top)
+    if parents is None:
+        return every
+    return every.drop("n_parents").join(parents, "node_id", "left").withColumn("n_parents", F.coalesce("n_parents", F.lit(0)))
+
+
+def _spread(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """All ``(label, node)`` that follow from ``pairs`` along ``links(parent, child)``; one round a step."""
+    seen = fresh = cut_lineage(pairs.select("label", "node").distinct())
+    while not fresh.isEmpty():
+        step = fresh.join(links, fresh["node"] == links["parent"]).select("label", F.col("child").alias("node")).distinct()
+        fresh = cut_lineage(step.join(seen, ["label", "node"], "left_anti"))
+        seen = cut_lineage(seen.unionByName(fresh))
+    return seen
+
+
+def _trim(links: DataFrame, near: str, far: str) -> DataFrame:
+    """Links left when nodes that never stand in ``far`` are taken away again and again."""
+    while True:
+        kept = cut_lineage(links.join(links.select(F.col(far).alias(near)).distinct(), near, "left_semi"))
+        if kept.count() == links.count():
+            return kept
+        links = kept
+
+
+def _rings(links: DataFrame) -> DataFrame:
+    """``(label, node)``: nodes on cycles, labelled by the smallest id of their cycle group.
+
+    Nodes take the smallest id that reaches them; those of a colour that reach the node they
+    are named after form its group. What remains is coloured anew until nothing does.
+    """
+    out = None
+    core = _trim(_trim(links, "parent", "child"), "child", "parent")
+    while not core.isEmpty():
+        nodes = core.select(F.col("parent").alias("node")).union(core.select("child")).distinct()
+        colour = cut_lineage(nodes.select("node", F.col("node").alias("c")))
+        while True:
+            low = core.join(colour, core["parent"] == colour["node"]).groupBy(F.col("child").alias("node")).agg(F.min("c").alias("m"))
+            new = cut_lineage(colour.join(low, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+            colour, moved = new.select("node", "c"), not new.where("moved").isEmpty()
+            if not moved:
+                break
+        p, c = colour.select(F.col("node").alias("parent"), F.col("c").alias("pc")), colour.select(F.col("node").alias("child"), F.col("c").alias("cc"))
+        inside = cut_lineage(core.join(p, "parent").join(c, "child").where("pc = cc").select(F.col("child").alias("parent"), F.col("parent").alias("child"), "pc"))
+        # Backwards from the namesake: a label stays within its colour, so one walk serves all.
+        group = _spread(colour.where("node = c").select(F.col("c").alias("label"), "node"), inside.select("parent", "child"))
+        # A namesake alone is a group only with a link to itself.
+        size = group.groupBy("label").agg(F.count("*").alias("n"))
+        selfish = core.where("parent = child").select(F.col("parent").alias("label")).distinct().withColumn("own", F.lit(True))
+        real = group.join(size, "label").join(selfish, "label", "left").where("n > 1 or own").select("label", "node")
+        out = real if out is None else out.unionByName(real)
+        done = group.select("node")
+        core = core.join(done.withColumnRenamed("node", "parent"), "parent", "left_anti").join(done.withColumnRenamed("node", "child"), "child", "left_anti")
+        core = _trim(_trim(cut_lineage(core), "parent", "child"), "child", "parent")
+    return out
+
+
+def _many_parents(links: DataFrame) -> DataFrame:
+    """TREE_SCHEMA rows of components too large to gather in which children have several parents.
+
+    Cycle groups are found by colouring and spread to what lies beneath; the rest
+    has no cycles, and its nodes go through their smallest parents by pointer doubling.
+    Rounds grow with the longest chain of links, and nothing is gathered.
+    """
+    counts = links.groupBy(F.col("child").alias("node_id")).agg(F.count("*").cast("int").alias("n_parents"))
+    rings = _rings(links)
+    if rings is None:
+        return _doubling(links.groupBy("child").agg(F.min("parent").alias("parent")), counts)
+    rings = cut_lineage(rings)
+    under = _spread(rings, links)
+    on = rings.select(F.col("label"), "node", F.lit(True).alias("hit"))
+    none = lambda kind: F.lit(None).cast(kind)
+    looped_rows = under.join(on, ["label", "node"], "left").join(counts, under["node"] == counts["node_id"], "left").select("node_id", none("string").alias("parent_id"), none("string").alias("root_id"), none("int").alias("depth"), none("array<string>").alias("path"), "n_parents", F.col("label").alias("cycle_id"), F.coalesce("hit", F.lit(False)).alias("on_cycle"))
+    bad = under.select("node").distinct()
+    free = cut_lineage(links.join(bad.withColumnRenamed("node", "child"), "child", "left_anti"))
+    # A root whose only children hang under cycles has no link left, yet a row of its own.
+    lone = links.select(F.col("parent").alias("node_id")).distinct().join(bad.withColumnRenamed("node", "node_id"), "node_id", "left_anti").join(free.select(F.col("parent").alias("node_id")).union(free.select("child")).distinct(), "node_id", "left_anti")
+    lone = lone.select("node_id", none("string").alias("parent_id"), F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), F.array("node_id").alias("path"), F.lit(0).alias("n_parents"), none("string").alias("cycle_id"), F.lit(False).alias("on_cycle"))
+    return looped_rows.unionByName(lone).unionByName(_doubling(free.groupBy("child").agg(F.min("parent").alias("parent")), counts))
 
 
 def hierarchies(links: DataFrame, max_component_links: int = 200_000) -> DataFrame:
     """``links(parent, child)`` -> TREE_SCHEMA, one row per node (per cycle for looped nodes).
 
     Connected components are found first. Components of at most
-    ``max_component_links`` links are co-located and walked depth first;
-    larger ones, whose children all have one parent, go through pointer
-    doubling instead, which never gathers them. A larger component in which
-    some child has several parents is refused, since its chains can't be
-    followed by pointers and it must not be gathered.
+    ``max_component_links`` links are co-located and walked depth first.
+    Larger ones are never gathered: where their children have one parent each they
+    go through pointer doubling, else through trimming and colouring.
 
     Null ends drop the link; repeated links count once; an empty table gives
     no rows; other columns are ignored. Ids compare by byte order.
@@ -198,9 +274,8 @@ def hierarchies(links: DataFrame, max_component_links: int = 200_000) -> DataFra
     if none:
         return rows
     large = cut_lineage(placed.join(huge, "component", "left_semi").select("parent", "child"))
-    if not large.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        raise ValueError("a component above max_component_links has children with several parents")
-    return rows.unionByName(_doubling(large))
+    several = not large.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return rows.unionByName(_many_parents(large) if several else _doubling(large))
 
 
 def descendants(tree: DataFrame) -> DataFrame:

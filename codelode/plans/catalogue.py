@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import hierarchy
+from codelode.plans import corpus, graphs, hierarchy, rankings
 
-_PARTS = (hierarchy,)
+_PARTS = (corpus, graphs, hierarchy, rankings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
