@@ -12,7 +12,7 @@ from functools import cache
 from codelode.llm.peg import Grammar
 
 PYTHON = r"""
-Start = 'file' nl* Stmt* | 'block' Stmt+ | 'def(' Params? | 'call(' Args? | '(' (YieldE | Args | StarList)? | 'call[' Slices | '[' (StarNamed (CompFor | (',' StarNamed)* ','?))? | '{' (Items)?
+Start = 'file' nl* Stmt* | 'block' Stmt+ | 'def(' Params? | 'call(' Args? | '(' (YieldE !. | Args !. | StarList !. | WithItem (',' WithItem)* ','? !.)? | 'call[' Slices | '[' (StarNamed (CompFor | (',' StarNamed)* ','?))? | '{' (Items)?
 Suite = Line | nl '<>'
 Line = Simple (';' Simple)* ';'? nl
 Stmt = Compound | Line
@@ -57,7 +57,7 @@ Item = '**' Expr | StarNamed (':' Expr)?
 """
 
 JAVA = r"""
-Start = 'file' File | 'if(' Expr | 'while(' Expr | 'switch(' Expr | 'synchronized(' Expr | 'for(' ForHead | 'catch(' Mods Type ('|' Type)* id | 'try(' Resource (';' Resource)* ';'? | '(' (Args | Params | Type ('&' Type)* | AnnArgs | Patterns)? !. | '[' Expr? | '{' Braces
+Start = 'file' File | 'if(' Expr | 'while(' Expr | 'switch(' Expr | 'synchronized(' Expr | 'for(' ForHead | 'catch(' Mods Type ('|' Type)* id | 'try(' Resource (';' Resource)* ';'? | '(' (Args | Params | Type ('&' Type)* !. | AnnArgs !. | Patterns !.)? !. | '[' Expr? | '{' Braces | 'init{' ArrayInit? !. | 'block{' (Block !. | ClassBody !. | SwitchBody !.) | 'type{' (ClassBody !. | Block !. | EnumBody !.)
 Braces = ClassBody !. | Block !. | SwitchBody !. | EnumBody !. | ArrayInit !.
 File = (Ann* package Name ';')? (import static? Name ('.' '*')? ';' | ';')* TypeDecl*
 TypeDecl = ';' | Mods TypeRest
@@ -120,7 +120,7 @@ Creator = TypeArgs? Ann* (Prim | ClassType) ('[.]'+ '[]'* | '[]'+ Body | Paren B
 """
 
 JS = r"""
-Start = 'file' Stmt* | 'if(' Expr | 'while(' Expr | 'switch(' Expr | 'with(' Expr | 'for(' ForHead | 'catch(' Binding | '(' (Elems | Expr)? !. | 'call[' Expr | '[' Elems? | '{' Braces
+Start = 'file' Stmt* | 'if(' Expr | 'while(' Expr | 'switch(' Expr | 'with(' Expr | 'for(' ForHead | 'await(' (ForHead !. | Elems !.) | 'catch(' Binding | '(' (Elems | Expr)? !. | 'call[' Expr | '[' Elems? | '{' Braces
 Braces = Stmt* !. | ClassBody !. | ObjLit? !. | SwitchBody !.
 E = ';' | nl | !. | &else
 Stmt = ';' | nl | Body | (var | const | let) Binding (',' Binding)* E | async? function '*'? id Paren Body | class id (extends Postfix)? Body | if '(.)' nl? Stmt (nl? else nl? Stmt)? | for await? '(.)' nl? Stmt | while '(.)' nl? Stmt | do nl? Stmt while '(.)' ';'? | switch '(.)' Body | try Body (catch '(.)'? Body (finally Body)? | finally Body) | return Expr? E | throw Expr E | (break | continue) id? E | debugger E | with '(.)' nl? Stmt | id ':' nl? Stmt | !function !class Expr E
@@ -219,13 +219,17 @@ def accepts(lang: str, kinds: list[str]) -> bool:
 #: Kinds before a round bracket that say what it must hold.
 PLACES = {
     "java": ("if", "while", "switch", "synchronized", "for", "catch", "try"),
-    "js": ("if", "while", "switch", "with", "for", "catch"),
+    "js": ("if", "while", "switch", "with", "for", "catch", "await"),
     "py": (),
     "go": (),
     "json": (),
 }
 
 
+#: Kinds before a brace in Java that say what it may hold; one after another brace may hold anything.
+JAVA_BRACES = {"=": "init{", "]": "init{", ",": "init{", "(": "init{", "id": "type{", ">": "type{", "{": "{"}
+
+
 @cache
 def neighbours(lang: str) -> frozenset[tuple[str, str]]:
     """Pairs of kinds that may follow each other in a token stream, groups written out.

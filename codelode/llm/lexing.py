@@ -1,7 +1,7 @@
 """Lexers: source text to token kinds with offsets, for Python, Java, JavaScript, Go and JSON.
 
 A kind is ``id``, ``num``, ``str``, a keyword, an operator, a bracket, or one of the layout kinds
-(``nl``, ``<``- and ``>``-like ``indent`` and ``dedent``); ``err`` stands for text no token fits.
+(``nl``, ``indent``, ``dedent``); ``err`` stands for text no token fits.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def _contextual(out: list[Token], text: str, lang: str) -> list[Token]:
             j = i
             while j < len(out) and out[j][0] != "nl":
                 j += 1
-            if w != "type" and (out[j - 1][0] != ":" or j == i + 2):
+            if w != "type" and not _colon(out, i + 2, j):
                 continue
         if w == "of" and before not in ("id", "]", "}"):
             continue
@@ -120,6 +120,16 @@ def _contextual(out: list[Token], text: str, lang: str) -> list[Token]:
     return out
 
 
+def _colon(out: list[Token], start: int, end: int) -> bool:
+    """Whether a colon stands outside brackets."""
+    depth = 0
+    for k, _, _ in out[start - 1 : end]:
+        depth += (k in ("(", "[", "{")) - (k in (")", "]", "}"))
+        if k == ":" and not depth:
+            return True
+    return False
+
+
 def _template(text: str, at: int) -> int:
     """End of a JavaScript template that starts at ``at``; -1 if it has none."""
     i, depth = at + 1, []

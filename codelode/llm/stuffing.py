@@ -39,6 +39,7 @@ class StuffingParams:
     z_high: float = 3.0  # deviations above prose's mean surprise that are abnormal
     z_low: float = -6.0
     sentence_words: float = 0.125  # units with this share of function words are sentences all the same
+    least_codes: int = 8  # class codes that a page's abnormal units must have together
     references: int = 8  # longest list of links that a written page may end with
     share: float = 0.5  # abnormal share of a page's characters
 
@@ -309,6 +310,7 @@ def _judge(bits, mean: float, spread: float, p: StuffingParams):
             odd = (kinds == 0) & ((z > p.z_high) | (z < p.z_low)) & (fw < p.sentence_words * n)
             written = np.bincount(row, (kinds == 0) & ~odd & (fw > 0), len(pdf)) > 0
             odd |= (kinds == 2) & ~written[row]
+            odd &= np.bincount(row, n * odd, len(pdf))[row] >= p.least_codes
             w = np.bincount(row, sizes, len(pdf))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "units": np.bincount(row, minlength=len(pdf)), "share": np.bincount(row, sizes * odd, len(pdf)) / np.maximum(w, 1), "technical": np.bincount(row, sizes * (kinds == 1), len(pdf)) / np.maximum(w, 1), "perplexity": 2.0 ** (np.bincount(row, m * n, len(pdf)) / np.maximum(np.bincount(row, n, len(pdf)), 1))})
 

@@ -58,6 +58,7 @@ def levels(files: DataFrame) -> DataFrame:
     end = F.when(F.col("k") == "(", ")").when(F.col("k") == "[", "]").when(F.col("k") == "{", "}").otherwise("dedent")
     token = F.when(F.col("k") == "indent", "<>").when(F.col("n1") == end, F.concat("k", end)).otherwise(F.concat("k", F.lit("."), end))
     value = F.col("p1").isin("id", ")", "]")
+    braces = F.create_map(*[F.lit(x) for kv in grammars.JAVA_BRACES.items() for x in kv])
     place = F.when(F.col("k") == "indent", "block")
     for lang, words in grammars.PLACES.items():
         if words:
@@ -67,6 +68,7 @@ def levels(files: DataFrame) -> DataFrame:
         .when((F.col("lang") == "py") & (F.col("k") == "(") & (value | (F.col("p1") == "str")), "call(")
         .when((F.col("lang") == "py") & (F.col("k") == "[") & (value | F.col("p1").isin("str", "}")), "call[")
         .when((F.col("lang") == "js") & (F.col("k") == "[") & (value | F.col("p1").isin("this", "super")), "call[")
+        .when((F.col("lang") == "java") & (F.col("k") == "{"), F.coalesce(F.try_element_at(braces, F.col("p1")), F.lit("block{")))
         .otherwise(F.col("k"))
     )
     row = lambda level, role, kind, head: F.struct(level.alias("level"), F.lit(role).alias("role"), kind.alias("k"), head.alias("head"))
