@@ -81,12 +81,14 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     best[0] = 0.0
     come = np.zeros(len(ends), dtype=np.int64)
     for j in range(1, len(ends)):
-        # begin never decreases, so the candidates are one slice.
+        # begin never decreases, so the candidates are one slice: those near enough, and
+        # those whose piece starts before the one after it.
         i = int(np.searchsorted(begin[:j], ends[j] - limit))
-        if i == j:
+        k = j if j == len(ends) - 1 else int(np.searchsorted(begin[:j], begin[j]))
+        if i >= k:
             continue
-        fresh = ends[j] - ends[i:j]
-        total = best[i:j] + ((fresh - target) / target) ** 2
+        fresh = ends[j] - ends[i:k]
+        total = best[i:k] + ((fresh - target) / target) ** 2
         k = int(np.argmin(total))
         best[j] = total[k] + cost[j - 1] + 1.0
         come[j] = i + k
