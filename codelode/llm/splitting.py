@@ -94,7 +94,8 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         come[j] = i + k
     if not np.isfinite(best[-1]):  # no way under the limit: cut by length alone
         step = max(1, limit - overlap)
-        return [(max(0, a - overlap), min(n, a + step), "hard" if a + step < n else "end") for a in range(0, n, step)]
+        starts = range(0, max(1, n - limit + step), step)
+        return [(a, min(n, a + limit), "hard" if a + limit < n else "end") for a in starts]
     out = []
     j = len(ends) - 1
     while j:
