@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from codelode.functions.text import cosine
 from codelode.operators.chunking import chunk_files
+from codelode.session import cut_lineage
 
 DIM = 64
 #: Queries compared with the table at a time; each task holds one block.
@@ -110,14 +111,16 @@ def search_all(table: DataFrame, queries: DataFrame, key: str, k: int = 5) -> Da
     """
     spark = table.sparkSession
     fits = F.size("embedding") == DIM
-    asked = queries.where(fits).select(F.col(key).alias("q")).distinct()
+    # Kept once: a set made by a limit must not differ from one use to the next.
+    asked = cut_lineage(queries.where(fits).select(F.col(key).alias("q"), "embedding").dropDuplicates(["q"]))
     n_blocks = -(-asked.count() // QUERY_BLOCK)
-    cuts = asked.agg(F.percentile_approx("q", [i / n_blocks for i in range(n_blocks)], 10_000)).first()[0] if n_blocks else []
-    bounds = sorted(set(cuts))
+    # Inner cuts may be inexact for large keys; the first must be the least key.
+    least, cuts = asked.agg(F.min("q"), F.percentile_approx("q", [i / max(1, n_blocks) for i in range(max(1, n_blocks))], 10_000)).first()
+    bounds = sorted({least, *(c for c in cuts if c > least)}) if n_blocks else []
     out = None
     rows = table.where(fits).select(F.col(key).alias("key"), "embedding")
     for lo, hi in zip(bounds, [*bounds[1:], None]):
-        block = queries.where(fits & (F.col(key) >= lo) & (F.lit(True) if hi is None else F.col(key) < hi)).select(key, "embedding").dropDuplicates([key]).toArrow().combine_chunks()
+        block = asked.where((F.col("q") >= lo) & (F.lit(True) if hi is None else F.col("q") < hi)).toArrow().combine_chunks()
         ids = np.asarray(block.column(0).combine_chunks(), dtype=np.int64)
         q = _rows(block.column(1).combine_chunks(), DIM)
         q_b = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))

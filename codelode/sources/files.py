@@ -20,7 +20,7 @@ def read_tree(spark: SparkSession, root: str, suffixes: list[str] | None = None,
     """``(path, suffix, size, modified_at, content)`` of the files below ``root``; paths relative, text in UTF-8.
 
     The length filter reaches the scan, and content is only read where it is used.
-    Bytes that are not UTF-8 are left out.
+    Bytes that are not UTF-8 are left out. Empty files have no row: Spark's scan passes over them.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if max_bytes is not None:
