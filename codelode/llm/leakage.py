@@ -22,7 +22,7 @@ class LeakParams:
     tile_words: int = 3  # least words of a tile once a pair has a seed
     passage_words: int = 15  # consecutive words of an item that make a leak
     edge_words: int = 1  # altered words allowed to hide at the two ends of a passage
-    gap_words: int = 3  # altered words allowed between tiles, in item and document
+    gap_words: int = 6  # altered words allowed between tiles, in item and document
     altered_share: float = 0.2  # most of a passage that may be altered
     shared_share: float = 0.05  # a seed in this share of the items is wording that reports share
     vocabulary_rows: int = 2_000_000  # item words held by every task; beyond, words travel as hashes
@@ -31,15 +31,17 @@ class LeakParams:
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,200})?/?>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _HIDDEN = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
-_WORD = re.compile(r"\w+")
-#: ASCII letters to lower case; what is neither letter, digit nor underscore to a blank.
-_FOLD = bytes(ord(chr(c).lower()) if c < 128 and (chr(c).isalnum() or c == 95) else 32 for c in range(256))
+_MARK = re.compile(r"[^\w\s]+")
+#: ASCII letters to lower case, control characters to blanks; marks are deleted.
+_FOLD = bytes(ord(chr(c).lower()) if 33 <= c < 127 else 32 for c in range(256))
+_MARKS = bytes(c for c in range(33, 127) if not (chr(c).isalnum() or c == 95))
 
 
 def words(text: str) -> list[str]:
     """Words without case, mark-up, quoting, entities and compatibility forms.
 
-    Underscores inside a word stay; everything else that is not a letter or digit parts words.
+    Blanks part words and marks are left out, so ``8.2.13,`` is the word ``8213`` however it is
+    punctuated. Underscores inside a word stay.
     """
     if "&" in text:
         text = html.unescape(text)
@@ -48,11 +50,10 @@ def words(text: str) -> list[str]:
     if "](" in text:
         text = _LINK.sub(" ", text)
     if text.isascii():
-        text = text.encode().translate(_FOLD).decode()
-        out = text.split()
+        text = text.encode().translate(_FOLD, _MARKS).decode()
     else:
-        text = unicodedata.normalize("NFKC", text.translate(_HIDDEN)).lower()
-        out = _WORD.findall(text)
+        text = _MARK.sub("", unicodedata.normalize("NFKC", text.translate(_HIDDEN)).lower())
+    out = text.split()
     if "_" in text and any(w[0] == "_" or w[-1] == "_" for w in out):
         out = [w for w in (w.strip("_") for w in out) if w]
     return out
