@@ -142,15 +142,21 @@ def _encode(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ids, cut_lineage(coded)
 
 
-def _doubling(links: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+def _roots(links: DataFrame) -> DataFrame:
+    """``(node)``: parents that are never a child."""
+    return links.select(F.col("parent").alias("node")).distinct().join(links.select(F.col("child").alias("node")), "node", "left_anti")
+
+
+def _doubling(links: DataFrame, parents: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
     """TREE_SCHEMA rows where every child has one parent in ``links``, by doubling parent pointers.
 
     Nothing is co-located: each round joins unfinished nodes to the pointers of
     their current ancestor, so a component of any size takes log2(depth) rounds;
     nodes still unfinished after log2(number of nodes) rounds hang under a cycle.
+    ``roots(node)`` are given where ``links`` are only some of the links: a root may have none left.
     """
     up = links.select(F.col("child").alias("node"), F.col("parent").alias("anc"))
-    roots = links.select(F.col("parent").alias("node")).distinct().join(up.select("node"), "node", "left_anti")
+    roots = _roots(links) if roots is None else roots
     base = cut_lineage(up.join(roots.select(F.col("node").alias("anc"), F.lit(True).alias("top")), "anc", "left").select("node", "anc", F.col("anc").alias("parent"), F.array("anc", "node").alias("path"), F.coalesce("top", F.lit(False)).alias("done"), F.least("node", "anc").alias("low")))
     total = base.count()
     cur, rounds, left = base, 0, base.where("not done").count()
@@ -235,9 +241,11 @@ def _many_parents(links: DataFrame) -> DataFrame:
     Rounds grow with the longest chain of links, and nothing is gathered.
     """
     counts = links.groupBy(F.col("child").alias("node_id")).agg(F.count("*").cast("int").alias("n_parents"))
+    # A root whose children all hang under cycles or go through a smaller parent has no link left, yet a row of its own.
+    roots = cut_lineage(_roots(links))
     rings = _rings(links)
     if rings is None:
-        return _doubling(links.groupBy("child").agg(F.min("parent").alias("parent")), counts)
+        return _doubling(links.groupBy("child").agg(F.min("parent").alias("parent")), counts, roots)
     rings = cut_lineage(rings)
     under = _spread(rings, links)
     on = rings.select(F.col("label"), "node", F.lit(True).alias("hit"))
@@ -245,10 +253,7 @@ def _many_parents(links: DataFrame) -> DataFrame:
     looped_rows = under.join(on, ["label", "node"], "left").join(counts, under["node"] == counts["node_id"], "left").select("node_id", none("string").alias("parent_id"), none("string").alias("root_id"), none("int").alias("depth"), none("array<string>").alias("path"), "n_parents", F.col("label").alias("cycle_id"), F.coalesce("hit", F.lit(False)).alias("on_cycle"))
     bad = under.select("node").distinct()
     free = cut_lineage(links.join(bad.withColumnRenamed("node", "child"), "child", "left_anti"))
-    # A root whose only children hang under cycles has no link left, yet a row of its own.
-    lone = links.select(F.col("parent").alias("node_id")).distinct().join(bad.withColumnRenamed("node", "node_id"), "node_id", "left_anti").join(free.select(F.col("parent").alias("node_id")).union(free.select("child")).distinct(), "node_id", "left_anti")
-    lone = lone.select("node_id", none("string").alias("parent_id"), F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), F.array("node_id").alias("path"), F.lit(0).alias("n_parents"), none("string").alias("cycle_id"), F.lit(False).alias("on_cycle"))
-    return looped_rows.unionByName(lone).unionByName(_doubling(free.groupBy("child").agg(F.min("parent").alias("parent")), counts))
+    return looped_rows.unionByName(_doubling(free.groupBy("child").agg(F.min("parent").alias("parent")), counts, roots))
 
 
 def hierarchies(links: DataFrame, max_component_links: int = 200_000) -> DataFrame:

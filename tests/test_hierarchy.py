@@ -66,3 +66,14 @@ def test_large_components_with_several_parents(spark):
     links = {(f"n{rng.randrange(i)}", f"n{i}") for i in range(1, 30)} | {(f"n{rng.randrange(12)}", f"n{rng.randrange(12, 30)}") for _ in range(12)} | {("n20", "n13"), ("n13", "n20"), ("n25", "n25"), ("k", "n20"), ("n20", "m1"), ("m1", "m2"), ("m2", "m1")}
     df = spark.createDataFrame(sorted(links), "parent string, child string")
     assert rows(hierarchies(df)) == rows(hierarchies(df, max_component_links=3))
+
+
+def test_roots_with_smaller_co_parents_keep_their_rows(spark):
+    # r2 stands in no link to a smallest parent; r3's other child hangs under a cycle.
+    plain = [("r1", "c"), ("r2", "c"), ("c", "d"), ("r1", "d")]
+    cyclic = plain + [("r3", "c"), ("r3", "x"), ("x", "y"), ("y", "x"), ("r4", "y")]
+    for links in (plain, cyclic):
+        df = spark.createDataFrame(links, "parent string, child string")
+        got = rows(hierarchies(df, max_component_links=1))
+        assert ("r2", "r2", 0, ("r2",), 0, None, False) in got
+        assert got == {(r[0], r[2], r[3], tuple(r[4]) if r[4] else None, r[5], r[6], r[7]) for r in walk_component(links)}
