@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -185,6 +186,74 @@ def covered(a: np.ndarray, b: np.ndarray, found: list[tuple[int, int, int]], com
     return best
 
 
+def matches(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """All longest runs of at least ``least`` words that both sides share, overlapping or not: ``(start in a, start in b, length)``."""
+    at: dict[int, list[int]] = {}
+    ka, kb = seed_keys(a, least), seed_keys(b, least)
+    for i in np.flatnonzero(np.isin(ka, kb)).tolist():
+        at.setdefault(int(ka[i]), []).append(i)
+    x, y = a.tolist(), b.tolist()
+    out = []
+    for j in np.flatnonzero(np.isin(kb, ka)).tolist():
+        for i in at[int(kb[j])]:
+            if i and j and x[i - 1] == y[j - 1]:
+                continue  # inside a longer run
+            n = 0
+            while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                n += 1
+            if n >= least:
+                out.append((i, j, n))
+    return out
+
+
+def aligned(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]], common: np.ndarray, p: LeakParams) -> tuple[int, int]:
+    """As ``covered``, over all shared runs: the longest passage on any path through them.
+
+    Tiles own their words, so a tile put to another copy of its words breaks the chain it
+    belongs to; here every run may go on in every run near its diagonal, wherever else its words stand.
+    Runs that overlap are cut where they meet. Of the ways to a run those stay that no other
+    beats in both words and alterations.
+    """
+    own = np.concatenate(([0], np.cumsum(~common))).tolist()
+    by: dict[int, list[tuple[int, int, int]]] = {}
+    for run in runs:
+        by.setdefault(run[1] - run[0], []).append(run)
+    for line in by.values():
+        line.sort()
+    best = (0, 0)
+    ways: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}  # words, words altered, words cut from the run's start
+    for run in sorted(runs, key=lambda t: (t[0] + t[2], t[1] + t[2])):
+        i, j, n = run
+        end, there = i + n, j + n
+        kept: list[tuple[int, int, int]] = []
+        for way in sorted([*ways.pop(run, ()), (own[end] - own[i], 0, 0)], key=lambda w: (w[1], -w[0], w[2])):
+            if not kept or way[0] > kept[-1][0]:
+                kept.append(way)
+        for span, bad, _ in kept:
+            if bad <= p.altered_share * span:
+                best = max(best, (span, span - bad))
+        for d in range(j - i - p.gap_words, j - i + p.gap_words + 1):
+            line = by.get(d, ())
+            # Runs of a diagonal lie apart, so few of them end behind this one and start near its end.
+            for i2, j2, n2 in line[bisect_right(line, end, key=lambda t: t[0] + t[2]) :]:
+                if i2 - end > p.gap_words or j2 - there > p.gap_words:
+                    break
+                if j2 + n2 <= there:
+                    continue
+                over = max(0, end - i2, there - j2)
+                back = max(0, over - n2 + p.tile_words)  # words this run gives up, and the next one
+                off = over - back
+                x, y = a[end - back : i2 + off], b[there - back : j2 + off]
+                if off > n2 - p.tile_words or len(x) > p.gap_words or len(y) > p.gap_words:
+                    continue
+                more = max(len(x), len(y)) - _alike(x, y)
+                gain = len(x) + own[i2 + n2] - own[i2 + off] - (own[end] - own[end - back])
+                for span, bad, cut in kept:
+                    if n - cut - back >= p.tile_words and bad + more <= p.altered_share * len(a):
+                        ways.setdefault((i2, j2, n2), []).append((span + gain, bad + more, off))
+    return best
+
+
 def _read(item: bool, p: LeakParams):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -230,7 +299,7 @@ def _tile(p: LeakParams):
                 shared = np.zeros(len(item), bool)
                 shared[np.asarray(common, dtype=int)] = True
                 found = tiles(np.asarray(item), np.asarray(doc), p.tile_words)
-                span, own = covered(np.asarray(item), np.asarray(doc), found, shared, p)
+                span, own = max(covered(np.asarray(item), np.asarray(doc), found, shared, p), aligned(np.asarray(item), np.asarray(doc), matches(np.asarray(item), np.asarray(doc), p.tile_words), shared, p))
                 rows.append((doc_id, instance_id, span, own, len(item), sum(int((~shared[i : i + n]).sum()) for i, _, n in found)))
             yield pd.DataFrame(rows, columns=names)
 

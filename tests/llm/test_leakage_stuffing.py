@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from codelode.llm.leakage import LeakParams, covered, leaks, p8_found, tiles, words
+from codelode.llm.leakage import LeakParams, aligned, covered, leaks, matches, p8_found, tiles, words
 from codelode.llm.stuffing import StuffingParams, Reader, judge_pages, p9_found
 
 FORM = "Before you submit this form please make sure that you have searched all open and closed reports for the same problem. "
@@ -69,6 +69,33 @@ def test_leaks(spark, vocabulary):
     assert leaks(df.limit(0), it, p).count() == 0 and leaks(df, it.limit(0), p).count() == 0
 
 
+def test_repeated_runs_do_not_cut_a_passage(spark):
+    ws = words(item(3))[:19]
+    cut = [*ws[:7], "zzz", *ws[8:11], "zzz", *ws[12:]]
+    twice = [*ws[:5], "yyy", *ws[6:9], "yyy", *ws[10:15], "yyy", *ws[16:]]
+    docs = [
+        (1, " ".join([*ws[8:11], NOISE, *cut])),
+        (2, " ".join([NOISE, *cut, NOISE, *ws[8:11]])),
+        (3, " ".join([*cut, NOISE, *twice])),
+        (4, " ".join([*ws[8:11], NOISE, *ws[:7], NOISE, *ws[12:]])),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame([*ITEMS[:3], ("i_3", " ".join(ws)), *ITEMS[4:]], "instance_id string, problem_statement string")
+    assert {(r.doc_id, r.passage, r.matched) for r in leaks(df, it).where("instance_id = 'i_3'").collect()} == {(1, 19, 17), (2, 19, 17), (3, 19, 17), (4, 7, 7)}
+    assert {tuple(r) for r in p8_found(df, it).collect()} == {(1, "i_3"), (2, "i_3"), (3, "i_3")}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 6), max_size=30), st.lists(st.integers(1, 6), max_size=30))
+def test_alignment_is_bounded(a, b):
+    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    p, none = LeakParams(), np.zeros(len(a), bool)
+    runs = matches(a, b, 3)
+    span, own = aligned(a, b, runs, none, p)
+    assert all((a[i : i + n] == b[j : j + n]).all() for i, j, n in runs)
+    assert max((n for _, _, n in runs), default=0) <= span <= len(a) and span - own <= p.altered_share * span
+
+
 PROSE = [
     "The service starts and waits for the lock, and then it stops without a word in the log.",
     "We have seen the same thing last month and worked around it by setting the limit to 753.",
