@@ -55,33 +55,70 @@ _MARKS = {",": ",", ".": ".", "!": ".", "?": ".", "…": ".", ":": ":", "-": "-"
 _MONEY = {"eur", "usd", "gbp", "chf"}
 
 
+_LIST = re.compile(r"([,|;])")
+_LINKS = re.compile(r"([,|;])(?=https?://|www\.)", re.I)
+_DATA = re.compile(r"(data:[\w/+.=-]*(?:;[\w=-]+)*;base64,[\w+/=-]*)")
+LONG = 400  # characters from which a piece is cut before its parts are looked at
+ENCODED = 40  # mean characters between slashes from which a long run is encoded data, not words
+
+
+def _core_classes(core: str) -> list[int]:
+    low = core.lower()
+    if low in FUNCTION_WORDS:
+        return [CODE["F"]]
+    if _NUMBER.match(core):
+        return [CODE["N"]]
+    if low in _MONEY:
+        return [CODE["$"]]
+    bracketed = re.search(r"[=(){}\[\]<>]", core)
+    if not bracketed and _LIST.search(core):
+        # Words joined without blanks are words all the same.
+        return [c for x in _LIST.split(core) if x for c in ([CODE[_MARKS[x]]] if x in _MARKS else piece_classes(x))]
+    if bracketed or "_" in core or _CAMEL.search(core) or _FILE.search(core):
+        return [CODE["I"]]
+    if re.search(r"\d", core):
+        return [CODE["X"]]
+    parts = [p for p in re.split(r"([-'’/.:])", core) if p]
+    return [CODE[_MARKS[p]] if p in _MARKS else CODE["F"] if p.lower() in FUNCTION_WORDS else OPEN for p in parts]
+
+
 def piece_classes(piece: str) -> bytes:
     """Class codes of a piece of text between blanks."""
+    if ";base64," in piece and len(parts := _DATA.split(piece)) > 1:
+        # Embedded data is one unbroken run; every second part is such data.
+        return b"".join(bytes([CODE["X"]]) if k % 2 else piece_classes(x) for k, x in enumerate(parts) if x)
+    if len(piece) >= LONG:
+        return _long_classes(piece)
     if _URL.search(piece) and not _FILE.search(piece.strip(".,;:()[]")):
+        if _LINKS.search(piece):
+            return b"".join(bytes([CODE[_MARKS[x]]]) if x in _MARKS else piece_classes(x) for x in _LINKS.split(piece) if x)
         lead = b"" if piece[0].isalnum() else bytes([CODE[_MARKS.get(piece[0], "=")]])
         return lead + bytes([CODE["U"]])
     lead, core, tail = _CORE.match(piece).groups()
-    out = [CODE[_MARKS.get(c, "=")] for c in lead[:3]]
+    out = [CODE[_MARKS.get(c, "=")] for c in lead]
     if core:
-        low = core.lower()
-        if low in FUNCTION_WORDS:
-            out.append(CODE["F"])
-        elif _NUMBER.match(core):
-            out.append(CODE["N"])
-        elif low in _MONEY:
-            out.append(CODE["$"])
-        elif "_" in core or _CAMEL.search(core) or _FILE.search(core) or re.search(r"[=(){}\[\]<>]", core):
-            out.append(CODE["I"])
-        elif re.search(r"\d", core):
-            out.append(CODE["X"])
-        else:
-            parts = [p for p in re.split(r"([-'’/,|;.:])", core) if p]
-            for p in parts:
-                out.append(CODE[_MARKS[p]] if p in _MARKS else CODE["F"] if p.lower() in FUNCTION_WORDS else OPEN)
-    out += [CODE[_MARKS.get(c, "=")] for c in tail[:3]]
+        out += _core_classes(core)
+    out += [CODE[_MARKS.get(c, "=")] for c in tail]
     return bytes(out)
 
 
+def _long_classes(piece: str) -> bytes:
+    """Class codes of a long piece: cut at list marks, then at slashes; only an unbroken run is one ``X``."""
+    out = []
+    for x in _LIST.split(piece):
+        if x in _MARKS:
+            out.append(bytes([CODE[_MARKS[x]]]))
+        elif len(x) < LONG:
+            out.append(piece_classes(x) if x else b"")
+        elif _URL.search(x):
+            out.append(bytes([CODE["U"]]))
+        elif len(x) <= ENCODED * (x.count("/") + 1):
+            out.extend(bytes([CODE["/"]]) if y == "/" else piece_classes(y) if 0 < len(y) < LONG else bytes([CODE["X"]] * bool(y)) for y in re.split("(/)", x))
+        else:
+            out.append(bytes([CODE["X"]]))
+    return b"".join(out)
+
+
 _LOG = re.compile(r"^\W*\d{1,2}:\d{2}(?::\d{2})?\b|\b(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|PASS|FAIL|FAILED|SKIP|OK)\b|^\s*(?:File \"|Traceback|at [\w.$]+\()|^\s*(?:[-+@]{2,}|diff )")
 _BRACKETS = re.compile(r"[(){}=;%]")
 _STATEMENT = re.compile(r"\s*(?:(?:import|from|break|package|raise)\s+[\w.]+\s*(?:import\b.*|\(.*|;)?$|return\b.*[\w)\]};]$|#\s|//)")
@@ -116,7 +153,7 @@ class Reader:
         for x in pieces:
             c = known.get(x)
             if c is None:
-                c = piece_classes(x) if len(x) < 400 else bytes([CODE["X"]])
+                c = piece_classes(x)
                 if len(known) < 400_000 and len(x) < 40:
                     known[x] = c
             out.append(c)

@@ -147,3 +147,22 @@ def test_long_text_is_read_whole():
     text = "\n".join(PROSE) * 2000
     codes, lengths, sizes, kinds = r.units(text)
     assert sum(lengths) == len(codes) and abs(sum(sizes) - len(text)) < len(text) * 0.02
+
+
+def test_words_joined_without_blanks_are_read(spark):
+    prose, _, _ = pages()
+    r = random.Random(4)
+    k = ["cheap", "download", "serial", "monitor", "crack", "licence", "coupon"]
+    spam = [(400 + i, mark.join(f"{r.choice(k)}{r.randrange(99) if digits else ''}" for _ in range(n))) for i, (mark, digits, n) in enumerate([(",", 0, 150), (",", 1, 150), ("|", 1, 40), ("|", 0, 150), (";", 1, 150), ("/", 1, 150), ("/", 0, 150)])]
+    spam += [(410, ",".join(f"https://www.{r.choice(k)}.example/{r.choice(k)}" for _ in range(30))), (411, PROSE[0] + "\n\n" + ",".join(r.choice(k) for _ in range(150)))]
+    blob = "".join(r.choice("ABCDEFGHabcdefgh0123456789") if i % 70 else "/" for i in range(1, 3000))
+    fine = [(500, PROSE[0] + "\n\ndata:image/png;base64," + blob), (501, PROSE[1] + " " + "ab12" * 300), (502, PROSE[2] + " https://a.test/" + "x/" * 300)]
+    df = spark.createDataFrame([*prose, *spam, *fine], "doc_id long, text string")
+    assert {r[0] for r in p9_found(df).collect()} == {i for i, _ in spam}
+
+
+def test_every_mark_and_part_has_a_code():
+    codes = Reader(StuffingParams()).codes
+    assert len(codes(["!!!!!!word??????"])) == 13
+    assert len(codes([",".join(["kw1"] * 200)])) == 399 and len(codes(["/".join(["kw"] * 300)])) == 599
+    assert len(codes(["a1b2" * 500])) == 1
