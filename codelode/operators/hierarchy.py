@@ -283,10 +283,39 @@ def hierarchies(links: DataFrame, max_component_links: int = 200_000) -> DataFra
     return rows.unionByName(_many_parents(large) if several else _doubling(large))
 
 
-def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor_id, node_id, distance) for every node with a path, from its path."""
+def descendants(tree: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(ancestor_id, node_id, distance) for every node not under a cycle, one row for each way from ancestor to node.
+
+    Nodes on whose path every node has one parent have their ancestors on it. For the others
+    the ways are counted up ``links(parent, child)``, of which ``tree`` was made, one round a step;
+    without ``links`` a tree in which a node has several parents is refused when its rows are read.
+    """
+    nodes = tree.where("cycle_id is null and depth > 0").select("node_id", "depth", "path", "n_parents")
+    if links is None:
+        nodes = nodes.where(F.when(F.col("n_parents") > 1, F.raise_error(F.lit("descendants of a node with several parents need links")).cast("boolean")).otherwise(True))
+        return _above(nodes)
+    links = links.select("parent", "child").where("parent is not null and child is not null").distinct()
+    if links.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _above(nodes)
+    nodes, links = cut_lineage(nodes), cut_lineage(links)
+    several = nodes.where("n_parents > 1").select(F.col("node_id").alias("at"))
+    mixed = cut_lineage(nodes.select("node_id", F.explode("path").alias("at")).join(several, "at", "left_semi").select("node_id").distinct())
+    up = links.select(F.col("child").alias("ancestor_id"), "parent")
+    fresh = cut_lineage(mixed.select(F.col("node_id").alias("ancestor_id"), "node_id", F.lit(1).cast("long").alias("ways")))
+    out = _above(nodes.join(mixed, "node_id", "left_anti"))
+    distance = 0
+    while True:
+        distance += 1
+        fresh = cut_lineage(fresh.join(up, "ancestor_id").groupBy(F.col("parent").alias("ancestor_id"), "node_id").agg(F.sum("ways").alias("ways")))
+        if fresh.isEmpty():
+            return out
+        out = out.unionByName(fresh.select("ancestor_id", "node_id", F.lit(distance).alias("distance"), F.explode(F.sequence(F.lit(1).cast("long"), "ways"))).drop("col"))
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    """Descendant rows of nodes from their paths."""
     up = F.slice("path", 1, F.greatest(F.col("depth"), F.lit(0)))
-    return tree.where("cycle_id is null and depth > 0").select("node_id", "depth", F.posexplode(up).alias("at", "ancestor_id")).select("ancestor_id", "node_id", (F.col("depth") - F.col("at")).alias("distance"))
+    return nodes.select("node_id", "depth", F.posexplode(up).alias("at", "ancestor_id")).select("ancestor_id", "node_id", (F.col("depth") - F.col("at")).alias("distance"))
 
 
 def looped(tree: DataFrame) -> DataFrame:

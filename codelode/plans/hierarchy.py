@@ -21,7 +21,8 @@ def p5_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(_tree(spark, d))
+    links = contains_links(spark.read.parquet(f"{d}/graph_edges.parquet"))
+    return descendants(hierarchies(links), links)
 
 
 _LINKS = """links AS (SELECT DISTINCT source_id AS p, target_id AS c FROM graph_edges

@@ -1,8 +1,11 @@
 import random
 
+import duckdb
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from codelode.operators.hierarchy import contains_links, descendants, hierarchies, looped, walk_component
+from codelode.plans.hierarchy import ORACLE, p5_descendants
 
 
 def rows(df):
@@ -77,3 +80,18 @@ def test_roots_with_smaller_co_parents_keep_their_rows(spark):
         got = rows(hierarchies(df, max_component_links=1))
         assert ("r2", "r2", 0, ("r2",), 0, None, False) in got
         assert got == {(r[0], r[2], r[3], tuple(r[4]) if r[4] else None, r[5], r[6], r[7]) for r in walk_component(links)}
+
+
+def test_descendants_over_all_parents(spark, tmp_path):
+    # Two ways of length 2 from r to c, one of length 3 over b; s is no smallest parent; k stands above a cycle only.
+    links = [("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("a", "b"), ("c", "d"), ("s", "d"), ("d", "e"), ("q", "t"), ("t", "u"), ("x", "y"), ("y", "x"), ("y", "z"), ("c", "z"), ("k", "x")]
+    df = spark.createDataFrame([(p, c, "CONTAINS") for p, c in links], "source_id string, target_id string, edge_type string")
+    df.write.parquet(f"{tmp_path}/graph_edges.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW graph_edges AS SELECT * FROM '{tmp_path}/graph_edges.parquet/*.parquet'")
+    want = sorted(duck.execute(ORACLE["p5_descendants"]).fetchall())
+    assert sorted(tuple(r) for r in p5_descendants(spark, str(tmp_path)).collect()) == want and want.count(("r", "c", 2)) == 2
+    large = contains_links(df)
+    assert sorted(tuple(r) for r in descendants(hierarchies(large, max_component_links=1), large).collect()) == want
+    with pytest.raises(Exception, match="several parents need links"):
+        descendants(hierarchies(large)).collect()
