@@ -28,7 +28,7 @@ class TreeParams:
     branches: int = 64  # children of a node
     target_recall: float = 0.985  # calibrated on queries from the sample
     queries: int = 400  # sample rows used for calibration
-    most_visits: int = 24  # leaves looked at, at most
+    most_visits: int = 24  # leaves tried first in calibration; doubled up to all leaves while recall stays below the target
     block_rows: int = 4_000  # members, and visitors, of a leaf compared in one task
 
 
@@ -125,7 +125,8 @@ def fit_tree(x: np.ndarray, total: int, p: TreeParams) -> Tree:
 def calibrate(tree: Tree, x: np.ndarray, k: int, p: TreeParams) -> tuple[int, float]:
     """Fewest leaf visits at which pairs of sample rows are found as often as asked, and that recall.
 
-    A pair is found when either row visits the other's leaf, as in the join.
+    A pair is found when either row visits the other's leaf, as in the join. Visits may grow to
+    all leaves of the tree, where every pair is found.
     """
     if tree.leaves < 2 or len(x) < 2:
         return 1, 1.0
@@ -133,21 +134,24 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, p: TreeParams) -> tuple[int, fl
     sims = x[q] @ x.T
     sims[np.arange(len(q)), q] = -2
     near = np.argsort(-sims, axis=1)[:, :k]
-    most = min(p.most_visits, tree.leaves)
     needed = np.unique(near)
-    from_q, from_n = tree.visit(x[q], most), tree.visit(x[needed], most)
     at = {n: i for i, n in enumerate(needed)}
-    first = np.full(near.shape, most + 1)
-    for i in range(len(q)):
-        for j, n in enumerate(near[i]):
-            other = from_n[at[n]]
-            hits = np.flatnonzero(from_q[i] == other[0]), np.flatnonzero(other == from_q[i, 0])
-            first[i, j] = min([most, *(int(h[0]) for h in hits if len(h))]) + 1
-    for m in range(1, most + 1):
-        recall = float((first <= m).mean())
-        if recall >= p.target_recall:
-            return m, recall
-    return most, recall
+    most = min(p.most_visits, tree.leaves)
+    while True:
+        from_q, from_n = tree.visit(x[q], most), tree.visit(x[needed], most)
+        first = np.full(near.shape, most + 1)
+        for i in range(len(q)):
+            for j, n in enumerate(near[i]):
+                other = from_n[at[n]]
+                hits = np.flatnonzero(from_q[i] == other[0]), np.flatnonzero(other == from_q[i, 0])
+                first[i, j] = min([most, *(int(h[0]) for h in hits if len(h))]) + 1
+        for m in range(1, most + 1):
+            recall = float((first <= m).mean())
+            if recall >= p.target_recall:
+                return m, recall
+        if most == tree.leaves:
+            return most, recall
+        most = min(2 * most, tree.leaves)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -69,3 +69,11 @@ def test_calibration_reaches_target():
     assert recall >= p.target_recall and 1 <= visits < tree.leaves
     best = tree.visit(x[:50], tree.leaves)
     assert all(sorted(r) == list(range(tree.leaves)) for r in best.tolist())
+
+
+def test_visits_widen_until_recall_is_reached():
+    x = unit(np.random.default_rng(3).normal(size=(1500, DIM)).astype(np.float32)).astype(np.float32)
+    p = TreeParams(leaf_rows=10, queries=60)
+    tree = fit_tree(x, len(x), p)
+    visits, recall = calibrate(tree, x, 5, p)
+    assert tree.leaves >= visits > p.most_visits and recall >= p.target_recall
