@@ -28,7 +28,7 @@ class MiningParams:
     least_shapes: int = 2
     blank_share: float = 0.06  # minified text has less white space than this ...
     long_line: int = 250  # ... and a line longer than this
-    data_words: int = 12  # most names and keywords in a file that only holds data
+    data_words: int = 12  # most different names and keywords, keys left out, in a file that only holds data
 
 
 # Attribute files.
@@ -121,6 +121,10 @@ def declared(text: str, repo: str) -> str | None:
     return None
 
 
+#: Words and commas; a word is entered at its start only, so that time stays in proportion to the line.
+_ROW = re.compile(r"(?:-|(?<!\w))\w++, ?(?:-?\w++, ?)*")
+
+
 def line_shapes(text: str) -> set[str]:
     """Lines with names, numbers, strings and lists abstracted; comments left out."""
     out = set()
@@ -128,13 +132,20 @@ def line_shapes(text: str) -> set[str]:
         line = line.strip()
         if not line or _COMMENT.match(line):
             continue
-        line = re.sub(r"\"[^\"]*\"|'[^']*'", "s", line[:4000])
+        line = re.sub(r"\"[^\"]*\"|'[^']*'", "s", line)
         line = re.sub(r"\d+(?:\.\d+)?", "0", line)
         line = re.sub(r"[A-Za-z_]\w*", lambda m: m.group() if m.group() in _KEPT else "w", line)
-        out.add(re.sub(r"(?:-?\w+, ?)+", "L", line)[:120])
+        out.add(_ROW.sub("L", line))
     return out
 
 
+def frame_words(text: str, tokens: list[tuple[str, int, int]]) -> int:
+    """Different names and keywords besides unquoted keys: what a table is set in, however many rows it has."""
+    t = [x for x in tokens if x[0] not in ("nl", "indent", "dedent")]
+    key = lambda i: t[i][0] == "id" and 0 < i < len(t) - 1 and t[i - 1][0] in ("{", ",") and t[i + 1][0] == ":"
+    return len({text[a:b] for i, (k, a, b) in enumerate(t) if k not in ("num", "str", "tpl", "err") and (k == "id" or k.isalpha()) and not key(i)})
+
+
 def features(path: str, repo: str, suffix: str, text: str, p: MiningParams) -> tuple:
     import xxhash
 
@@ -145,7 +156,7 @@ def features(path: str, repo: str, suffix: str, text: str, p: MiningParams) -> t
     # A bare object or list is a JSON text under a wrong suffix, not data put into code.
     bare = bool(tokens) and next((k for k, _, _ in tokens if k not in ("nl", "indent")), "") in ("{", "[")
     minified = not bare and blank < p.blank_share and max(map(len, text.split("\n"))) > p.long_line
-    data = not bare and literal > 300 and len(words) <= p.data_words and sum(words) * 5 < literal
+    data = not bare and literal > 300 and frame_words(text, tokens) <= p.data_words and sum(words) * 5 < literal
     key = xxhash.xxh64_intdigest("\0".join(text[a:b] for _, a, b in tokens if b > a).encode("utf-8", "replace")) - (1 << 63)
     name = path.rsplit("/", 1)[-1]
     m = _NAME.match(name)

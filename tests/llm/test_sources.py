@@ -167,3 +167,17 @@ def test_hand_written(spark):
     assert got == want - {"r2/src/rec_6.py"}
     assert {r[0] for r in hand_written(df).collect()} == {p for p, _, s, c in rows if s in (".py", ".js") and c is not None} - got
     assert judge_files(df.limit(0)).count() == 0
+
+
+def test_long_lines_and_large_tables_count_whole():
+    from codelode.llm.handwritten import MiningParams, features, line_shapes
+
+    head = "f(a);" * 1000
+    assert len(line_shapes(head + "g[1]\n" + head + "if (b) { c = 2 }")) == 2
+    assert max(map(len, line_shapes(head))) > 4000
+    p = MiningParams()
+    is_data = lambda path, text: features(path, "r", path[path.rindex(".") :], text, p)[5]
+    assert is_data("a/b.js", "module.exports = {\n" + "".join(f'  key{i}: "{"some long text " * 3}{i}",\n' for i in range(60)) + "};\n")
+    assert is_data("a/B.java", "class B {\n  static {\n" + "".join(f'    map.put("key {i}", "{"some long text " * 4}");\n' for i in range(60)) + "  }\n}\n")
+    code = "def f{0}(row, size):\n    if row.kind_{0} == 'a' and size > 3:\n        return row.part_{0}\n"
+    assert not is_data("a/c.py", "T = {\n" + "".join(f"    'key{i}': '{'long text ' * 5}',\n" for i in range(60)) + "}\n" + "".join(code.format(i) for i in range(4)))
