@@ -22,7 +22,7 @@ def anchors(graph: CodeGraph, query: str, k: int = ANCHORS) -> DataFrame:
     return top.select("id", "name", "node_type", "file_path", "score", "position", F.row_number().over(Window.orderBy(F.desc("score"), "position", "id")).alias("rank"))
 
 
-def search(graph: CodeGraph, query: str, top_k: int = 10, depth: int = 2, callers: bool = True, callees: bool = True, siblings: bool = True) -> DataFrame:
+def search(graph: CodeGraph, query: str, top_k: int | None = 10, depth: int = 2, callers: bool = True, callees: bool = True, siblings: bool = True) -> DataFrame:
     """``(id, score, source, depth)`` of anchors and what their hops reach, best first.
 
     A node keeps its best score, the first of equals; ties in the ranking go to the node
@@ -59,7 +59,8 @@ def search(graph: CodeGraph, query: str, top_k: int = 10, depth: int = 2, caller
         every = every.unionByName(x)
     # The best arrival wins the node's score, its first arrival the node's place among equals.
     best = every.groupBy("id").agg(F.max_by(F.struct("score", "source", "depth"), F.struct("score", F.transform("arrival", lambda v: -v))).alias("b"), F.min("arrival").alias("first"))
-    return best.select("id", "b.score", "b.source", "b.depth", "first").orderBy(F.desc("score"), "first", "id").limit(top_k)
+    ranked = best.select("id", "b.score", "b.source", "b.depth", "first").orderBy(F.desc("score"), "first", "id")
+    return ranked if top_k is None else ranked.limit(top_k)
 
 
 def snippets(nodes: DataFrame, files: DataFrame, max_lines: int = 30) -> DataFrame:
@@ -73,7 +74,8 @@ def snippets(nodes: DataFrame, files: DataFrame, max_lines: int = 30) -> DataFra
 def localize(files: DataFrame, graph: CodeGraph, query: str, k: int = 10) -> DataFrame:
     """``(file_path, score)``: files for a report by reciprocal rank fusion of line search and graph search.
 
-    Stands where a model would decide; every part is deterministic.
+    Stands where a model would decide; every part is deterministic. All files of both searches
+    are ranked; only the fused ranking is cut to ``k``.
     """
     from codelode.operators.search import code_search
 
@@ -81,9 +83,9 @@ def localize(files: DataFrame, graph: CodeGraph, query: str, k: int = 10) -> Dat
     pattern = "|".join(t for t in ("".join(c for c in x if c.isalnum() or c == "_") for x in terms) if len(t) > 2)
     ranked = []
     if pattern:
-        hits = code_search(files, pattern, is_regex=True, max_results=None).groupBy(F.col("path").alias("file_path")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file_path").limit(50)
+        hits = code_search(files, pattern, is_regex=True, max_results=None).groupBy(F.col("path").alias("file_path")).agg(F.count("*").alias("n"))
         ranked.append(hits.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "file_path"))).select("file_path", "r"))
-    g = search(graph, query, 50).join(graph.nodes.select("id", "file_path"), "id").where("file_path <> ''").groupBy("file_path").agg(F.max("score").alias("s")).orderBy(F.desc("s"), "file_path").limit(50)
+    g = search(graph, query, None).join(graph.nodes.select("id", "file_path"), "id").where("file_path <> ''").groupBy("file_path").agg(F.max("score").alias("s"))
     ranked.append(g.withColumn("r", F.row_number().over(Window.orderBy(F.desc("s"), "file_path"))).select("file_path", "r"))
     every = ranked[0] if len(ranked) == 1 else ranked[0].union(ranked[1])
     return every.groupBy("file_path").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("score")).orderBy(F.desc("score"), "file_path").limit(k)

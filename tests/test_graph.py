@@ -115,3 +115,14 @@ def test_agents(spark):
     assert agents.first_traces(t).count() == 2 and len(agents.trace_summary(t).first().summary.split("\n")) == 3
     p = rows.limit(1).select(agents.compose(F.lit("report"), {"Files": F.array(F.lit("a")), "None": F.array().cast("array<string>")}).alias("p")).first().p
     assert p == "report\n\nFiles:\na"
+
+
+def test_localize_fuses_all_files(spark):
+    from codelode.operators.retrieval import localize
+
+    # z.py is 61st by lines; the callees in one file would fill the best 50 nodes before late.py.
+    nodes = [("z", "gateway", "function", "z.py", 1, 1, "", "", None, 0)] + [(f"n{i:02}", f"x{i}", "function", "crowd.py" if i < 60 else "late.py", i + 1, i + 1, "", "", None, i + 1) for i in range(61)]
+    edges = spark.createDataFrame([("z", f"n{i:02}", "CALLS", i) for i in range(61)], "source_id string, target_id string, edge_type string, seq bigint")
+    files = spark.createDataFrame([("z.py", "gateway\n")] + [(f"p{i:02}.py", "gateway\n" * 3) for i in range(60)], "path string, content string")
+    got = {r.file_path: r.score for r in localize(files, CodeGraph(upsert_nodes(spark.createDataFrame(nodes, N)), edges), "gateway", 200).collect()}
+    assert got["z.py"] == round(1 / 61 + 1 / 121, 9) and {"crowd.py", "late.py", "p59.py"} <= set(got)
