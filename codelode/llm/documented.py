@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from codelode.llm.informative import clean_block, clean_docstring, informative
-from codelode.llm.lexing import LANGUAGES, lex
-from codelode.llm.peg import Grammar
-from codelode.llm.syntax import invalid_files
+from codelode.llm.lexing import OPEN, Lexed, scan
+from codelode.llm.peg import Grammar, partners
+from codelode.session import cut_lineage
 
 PYTHON = r"""
 File = Item*
 Item = Class | Func | Stmt
 Class = Decor* class Name Group* ':' Suite
-Func = Decor* async? def Name Square? Params ('->' (Group | !':' !nl .)+)? ':' Suite
+Func = Decor* async? def Name Square? Params ('->' (Group | !':' !nl .)+)? ':' Body
 Decor = '@' (Group | !nl .)* nl
 Suite = nl indent Doc? (Item | nl)* dedent | OneLine
+Body = nl %(indent Doc)? ^indent | OneLine
 OneLine = Doc? Rest
 Rest = (Group | !nl .)* nl
 Doc = str+ &(nl | ';')
@@ -28,9 +27,9 @@ Stmt = nl | !dedent !indent (Group | !nl !dedent .)+ (nl (indent Item* dedent)?)
 Name = id
 Params = Round
 Group = Round | Square | Curly
-Round = '(' (Group | !')' .)* ')'
-Square = '[' (Group | !']' .)* ']'
-Curly = '{' (Group | !'}' .)* '}'
+Round = ^'('
+Square = ^'['
+Curly = ^'{'
 """
 
 JAVA = r"""
@@ -50,9 +49,9 @@ Name = id &('(' | '{' | '<' | extends | implements | permits | id)
 Params = Round
 Doc = doc
 Group = Round | Square | Curly
-Round = '(' (Group | !')' .)* ')'
-Square = '[' (Group | !']' .)* ']'
-Curly = '{' (Group | !'}' .)* '}'
+Round = ^'('
+Square = ^'['
+Curly = ^'{'
 """
 
 JS = r"""
@@ -73,9 +72,9 @@ Name = id
 Params = Round
 Doc = doc
 Group = Round | Square | Curly
-Round = '(' (Group | !')' .)* ')'
-Square = '[' (Group | !']' .)* ']'
-Curly = '{' (Group | !'}' .)* '}'
+Round = ^'('
+Square = ^'['
+Curly = ^'{'
 """
 
 GO = r"""
@@ -87,9 +86,9 @@ Name = id
 Params = Round
 Doc = doc
 Group = Round | Square | Curly
-Round = '(' (Group | !')' .)* ')'
-Square = '[' (Group | !']' .)* ']'
-Curly = '{' (Group | !'}' .)* '}'
+Round = ^'('
+Square = ^'['
+Curly = ^'{'
 """
 
 TEXTS = {"py": PYTHON, "java": JAVA, "js": JS, "go": GO}
@@ -104,47 +103,72 @@ def grammar(lang: str) -> Grammar:
 Pair = tuple[str, str, str, str, str, int, int]  # name, qualified name, class, signature, documentation, first and last offset
 
 
-def _tokens(text: str, lang: str) -> list[tuple[str, int, int]]:
-    """Tokens, with documentation comments as ``doc`` and other comments left out."""
-    if lang == "py":
-        return lex(text, lang)
-    out: list[tuple[str, int, int]] = []
-    held: tuple[int, int] | None = None
-    for kind, a, b in lex(text, lang, comments=True):
+def _documented_tokens(read: Lexed, text: str, lang: str) -> tuple[list[str], list[int]]:
+    """Kinds, with documentation comments as ``doc`` and other comments left out, and their places in ``read``.
+
+    A documentation comment of several lines in Go stands at its first line.
+    """
+    kinds, places = read.kinds, range(len(read.kinds))
+    if lang == "py" or "comment" not in kinds:
+        return kinds, list(places)
+    out: list[str] = []
+    at: list[int] = []
+    held: list[int] = []  # first and last line of the comment right above
+    for i, kind in enumerate(kinds):
         if kind != "comment":
-            if held and lang == "go":
+            if held:
                 # Lines right above the function, nothing between.
-                if kind == "func" and text.count("\n", held[1], a) == 1:
-                    out.append(("doc", *held))
-                if kind != ";" or a != b:
-                    held = None
-            if kind == "nl" and out and out[-1][0] == "doc":
-                out.insert(-1, (kind, a, b))  # the line break belongs to what stands before the comment
+                if kind == "func" and text.count("\n", read.span(held[1])[1], read.span(i)[0]) == 1:
+                    out.append("doc")
+                    at.append(held[0])
+                if kind != ";" or read.at[i] >= 0:
+                    held = []
+            if kind == "nl" and out and out[-1] == "doc":
+                out.insert(-1, kind)  # the line break belongs to what stands before the comment
+                at.insert(-1, i)
             else:
-                out.append((kind, a, b))
-        elif lang == "go":
+                out.append(kind)
+                at.append(i)
+            continue
+        a, b = read.span(i)
+        if lang == "go":
             own_line = not text[text.rfind("\n", 0, a) + 1 : a].strip()
             if text.startswith("//", a) and own_line:
-                follows = held and text.count("\n", held[1], a) == 1
-                held = (held[0], b) if follows else (a, b)
+                follows = held and text.count("\n", read.span(held[1])[1], a) == 1
+                held = [held[0], i] if follows else [i, i]
             else:
-                held = None
+                held = []
         elif text.startswith("/**", a) and b - a > 4:
-            if out and out[-1][0] == "doc":
+            if out and out[-1] == "doc":
                 out.pop()  # only the nearest block counts
-            out.append(("doc", a, b))
-    return out
+                at.pop()
+            out.append("doc")
+            at.append(i)
+    return out, at
+
+
+def _block(read: Lexed, i: int) -> str:
+    """A documentation comment from its first line on."""
+    a, b = read.span(i)
+    text = read.text(i)
+    j = i
+    while j + 1 < len(read.kinds) and (read.kinds[j + 1] == "comment" or read.kinds[j + 1] == ";" and read.at[j + 1] < 0) and text.startswith("//"):
+        j += 1
+        if read.kinds[j] == "comment":
+            text += "\n" + read.text(j)
+    return text
 
 
-def functions(text: str, lang: str) -> list[Pair]:
+def functions(text: str, lang: str, read: Lexed | None = None) -> list[Pair]:
     """Functions and methods of a source text with their documentation, outermost level and classes."""
-    tokens = _tokens(text, lang)
-    nodes = grammar(lang).tree("File", [k for k, _, _ in tokens], KEEP)
+    read = scan(text, lang, comments=lang != "py") if read is None else read
+    kinds, at = _documented_tokens(read, text, lang)
+    nodes = grammar(lang).tree("File", kinds, KEEP, partners(kinds, OPEN))
     found: list[Pair] = []
 
     def span(node: tuple) -> tuple[int, int]:
         a, b = node[1], node[2]
-        return tokens[a][1], tokens[max(a, b - 1)][2]
+        return read.span(at[a])[0], read.span(at[max(a, b - 1)])[1]
 
     def body(node: tuple) -> str:
         a, b = span(node)
@@ -176,8 +200,8 @@ def functions(text: str, lang: str) -> list[Pair]:
         a, b = span(node)
         doc = ""
         if "Doc" in own:
-            doc = clean_docstring(body(own["Doc"])) if lang == "py" else clean_block(body(own["Doc"]))
-        head = tokens[own["Doc"][2]][1] if "Doc" in own and lang != "py" else a
+            doc = clean_docstring(body(own["Doc"])) if lang == "py" else clean_block(_block(read, at[own["Doc"][1]]) if lang == "go" else body(own["Doc"]))
+        head = read.span(at[own["Doc"][2]])[0] if "Doc" in own and lang != "py" else a
         sig = " ".join(text[head : span(own["Params"])[1]].split())
         found.append((label, ".".join((*classes, label)), ".".join(classes), sig, doc, a, b))
 
@@ -191,34 +215,47 @@ def argument_names(sig: str) -> list[str]:
     return re.findall(r"[^\W\d]\w*", sig)
 
 
-PAIRS = "path string, repo string, language string, name string, qualified_name string, class_name string, signature string, docstring string, informative boolean, start_line int, end_line int, code string"
-
-
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in PAIRS.split(", ")]
-    for pdf in batches:
-        rows = []
-        for path, repo, suffix, text in zip(pdf["path"], pdf["repo"], pdf["suffix"], pdf["content"]):
-            try:
-                found = functions(text, LANGUAGES[suffix])
-            except RecursionError:
-                continue  # nested deeper than can be followed
-            for name, qualified, cls, sig, doc, a, b in found:
-                rows.append((path, repo, LANGUAGES[suffix], name, qualified, cls, sig, doc, informative(doc, qualified, argument_names(sig)), text.count("\n", 0, a) + 1, text.count("\n", 0, b) + 1, text[a:b]))
-        yield pd.DataFrame(rows, columns=names).astype({"start_line": "int32", "end_line": "int32", "informative": "bool"})
+#: Fields of a function: what finding it needs, or all.
+PAIR_FIELDS = {
+    "found": "qualified_name: string, informative: boolean",
+    "pairs": "name: string, qualified_name: string, class_name: string, signature: string, docstring: string, informative: boolean, start_line: int, end_line: int, code: string",
+}
+
+
+def pair_rows(text: str, lang: str, read: Lexed, whole: bool) -> list[dict]:
+    """The functions of a lexed text, with the fields of PAIR_FIELDS."""
+    out = []
+    line, at = 1, 0
+    for name, qualified, cls, sig, doc, a, b in functions(text, lang, read):
+        useful = informative(doc, qualified, argument_names(sig))
+        if not whole:
+            out.append({"qualified_name": qualified, "informative": useful})
+            continue
+        if a < at:
+            line, at = 1, 0
+        line, at = line + text.count("\n", at, a), a
+        out.append({"name": name, "qualified_name": qualified, "class_name": cls, "signature": sig, "docstring": doc, "informative": useful, "start_line": line, "end_line": line + text.count("\n", a, b), "code": text[a:b]})
+    return out
 
 
-def documented_functions(files: DataFrame, sound_only: bool = True) -> DataFrame:
-    """PAIRS rows of all functions and methods; ``informative`` says whether the documentation is useful.
+def documented_functions(files: DataFrame, sound_only: bool = True, fields: str = "pairs") -> DataFrame:
+    """``(path, repo, language, <PAIR_FIELDS>)`` of all functions and methods; ``informative`` says whether the documentation is useful.
 
-    Files that do not parse are left out, unless ``sound_only`` is false. Null contents and other
-    suffixes give no rows; a file delivered several times is read once. Functions inside functions do not count.
+    Files are read once: the tokens that find the functions also tell whether the file parses. Files that
+    do not are left out, unless ``sound_only`` is false. Null contents and other suffixes
+    give no rows; repeated deliveries count once. Functions inside functions do not count.
     """
-    known = files.where(F.col("path").isNotNull() & F.col("content").isNotNull() & F.col("suffix").isin(".py", ".java", ".js", ".go"))
+    from codelode.llm.syntax import judged, lexed, small
+
+    read = lexed(files, fields)
+    rows = read.where(F.size("functions") > 0)
     if sound_only:
-        known = known.join(invalid_files(files).select("path"), "path", "left_anti")
-    once = known.select("path", "repo", "suffix", "content").dropDuplicates(["path", "content"])
-    return once.mapInPandas(_extract, PAIRS)
+        rows = rows.join(small(cut_lineage(judged(files, read).select("path"))), "path", "left_anti")
+    rows = rows.select("path", "repo", F.col("lang").alias("language"), F.inline("functions"))
+    if fields == "found":
+        return rows.distinct()
+    once = ["path", "qualified_name", "start_line", "__hash"]
+    return rows.withColumn("__hash", F.xxhash64("signature", "docstring", "code")).dropDuplicates(once).drop("__hash")
 
 
 def useful_pairs(files: DataFrame) -> DataFrame:
@@ -228,4 +265,4 @@ def useful_pairs(files: DataFrame) -> DataFrame:
 
 def p2_found(files: DataFrame) -> DataFrame:
     """Functions and methods with useful documentation."""
-    return useful_pairs(files).select("path", "qualified_name").distinct()
+    return documented_functions(files, fields="found").where("informative").select("path", "qualified_name").distinct()

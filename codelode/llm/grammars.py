@@ -45,10 +45,16 @@ Prim = id | num | str+ | 'None' | 'True' | 'False' | '...' | Paren | '[]' | '[.]
 Paren = '()' | '(.)'
 LParams = LParam (',' LParam)* ','?
 LParam = '*' id? | '**' id | '/' | id ('=' Expr)?
-Params = Param (',' Param)* ','?
-Param = '**' id (':' Expr)? | '*' (id (':' StarNamed)?)? | '/' | id (':' Expr)? ('=' Expr)?
-Args = Arg (',' Arg)* ','?
-Arg = id '=' Expr | '**' Expr | '*' Expr | Named CompFor? | id as id
+Params = (Plain (',' Plain)* (',' Given)* | Given (',' Given)*) (',' Rest)? ','? | Rest ','?
+Plain = ('/' | id (':' Expr)? !'=') &(',' | !.)
+Given = ('/' | id (':' Expr)? '=' Expr) &(',' | !.)
+Rest = '*' (id (':' StarNamed)?)? (',' Only)* (',' Twice)? | Twice
+Only = id (':' Expr)? ('=' Expr)?
+Twice = '**' id (':' Expr)?
+Args = (Front (',' Front)* (',' Back)* | Back (',' Back)*) (',' Last)* ','? | Last (',' Last)* ','?
+Front = ('*' Expr | Named CompFor? | id as id) &(',' | !.)
+Back = (id '=' Expr | '*' Expr) &(',' | !.)
+Last = '**' Expr | id '=' Expr
 CompFor = async? for Targets in Disj (if Disj)* CompFor?
 Slices = Slice (',' Slice)* ','?
 Slice = Expr? ':' Expr? (':' Expr?)? | StarNamed
@@ -57,7 +63,7 @@ Item = '**' Expr | StarNamed (':' Expr)?
 """
 
 JAVA = r"""
-Start = 'file' File | 'if(' Expr | 'while(' Expr | 'switch(' Expr | 'synchronized(' Expr | 'for(' ForHead | 'catch(' Mods Type ('|' Type)* id | 'try(' Resource (';' Resource)* ';'? | '(' (Args | Params | Type ('&' Type)* !. | AnnArgs !. | Patterns !.)? !. | '[' Expr? | '{' Braces | 'init{' ArrayInit? !. | 'block{' (Block !. | ClassBody !. | SwitchBody !.) | 'type{' (ClassBody !. | Block !. | EnumBody !.)
+Start = 'file' File | 'if(' Expr | 'while(' Expr | 'switch(' Expr | 'synchronized(' Expr | 'for(' ForHead | 'catch(' Mods Type ('|' Type)* id | 'try(' Resource (';' Resource)* ';'? | '(' (Args | Params | Type ('&' Type)* !. | AnnArgs !. | Patterns !.)? !. | '[' Expr? | '{' Braces | 'init{' ArrayInit? !. | 'block{' Block | 'class{' ClassBody | 'enum{' EnumBody | 'switch{' SwitchBody
 Braces = ClassBody !. | Block !. | SwitchBody !. | EnumBody !. | ArrayInit !.
 File = (Ann* package Name ';')? (import static? Name ('.' '*')? ';' | ';')* TypeDecl*
 TypeDecl = ';' | Mods TypeRest
@@ -84,7 +90,10 @@ Var = id '[]'* ('=' Init)?
 Init = Body | Expr
 Block = Stmt*
 Stmt = Body | ';' | Mods TypeRest | Mods Type Vars ';' | if '(.)' Stmt (else Stmt)? | while '(.)' Stmt | do Stmt while '(.)' ';' | for '(.)' Stmt | switch '(.)' Body | Try | return Expr? ';' | throw Expr ';' | break id? ';' | continue id? ';' | synchronized '(.)' Body | assert Expr (':' Expr)? ';' | yield Expr ';' | id ':' Stmt | ExprStmt ';'
-ExprStmt = Expr
+ExprStmt = Target AssignOp Expr | ('++' | '--') Unary | Primary (Other* Paren)+ Other* ('++' | '--') | Primary (Other* Paren)+ | Primary Other* ('++' | '--') | new Creator
+Other = !Paren Suffix
+Target = Primary (Paren* Tail)+ &AssignOp | id &AssignOp | '(.)' &AssignOp
+Tail = '.' TypeArgs? (id | this) | '[.]'
 Try = try '(.)' Body Catch* (finally Body)? | try Body (Catch+ (finally Body)? | finally Body)
 Catch = catch '(.)' Body
 SwitchBody = (Label ('->' (Body | throw Expr ';' | Expr ';') | ':' Stmt*))*
@@ -105,7 +114,7 @@ Param = Mods Type (Ann* '...')? (id '.')? (id | this) '[]'*
 AnnArgs = AnnArg (',' AnnArg)* | Element
 AnnArg = id '=' Element
 Element = Body | Ann | Expr
-Expr = Lambda | Ternary (AssignOp Expr)?
+Expr = Lambda | Target AssignOp Expr | Ternary
 Lambda = (id | Paren) '->' (Body | Expr)
 AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>' '>=' | '>' '>='
 Ternary = Bin ('?' Expr ':' (Lambda | Ternary))?
@@ -120,17 +129,21 @@ Creator = TypeArgs? Ann* (Prim | ClassType) ('[.]'+ '[]'* | '[]'+ Body | Paren B
 """
 
 JS = r"""
-Start = 'file' Stmt* | 'if(' Expr | 'while(' Expr | 'switch(' Expr | 'with(' Expr | 'for(' ForHead | 'await(' (ForHead !. | Elems !.) | 'catch(' Binding | '(' (Elems | Expr)? !. | 'call[' Expr | '[' Elems? | '{' Braces
-Braces = Stmt* !. | ClassBody !. | ObjLit? !. | SwitchBody !.
+Start = 'file' Stmt* | 'if(' Expr | 'while(' Expr | 'switch(' Expr | 'with(' Expr | 'for(' ForHead | 'await(' (ForHead !. | Elems !.) | 'catch(' (id | Array | Body) | '(' (Elems | Expr)? !. | 'call[' Expr | '[' Elems? | 'block{' Stmt* | 'class{' ClassBody | 'switch{' SwitchBody | '{' Braces
+Braces = Stmt* !. | ObjLit? !.
 E = ';' | nl | !. | &else
-Stmt = ';' | nl | Body | (var | const | let) Binding (',' Binding)* E | async? function '*'? id Paren Body | class id (extends Postfix)? Body | if '(.)' nl? Stmt (nl? else nl? Stmt)? | for await? '(.)' nl? Stmt | while '(.)' nl? Stmt | do nl? Stmt while '(.)' ';'? | switch '(.)' Body | try Body (catch '(.)'? Body (finally Body)? | finally Body) | return Expr? E | throw Expr E | (break | continue) id? E | debugger E | with '(.)' nl? Stmt | id ':' nl? Stmt | !function !class Expr E
+Stmt = ';' | nl | Body | (var | let) Binding (',' Binding)* E | const Bound (',' Bound)* E | async? function '*'? id Paren Body | class id (extends Postfix)? Body | if '(.)' nl? Stmt (nl? else nl? Stmt)? | for await? '(.)' nl? Stmt | while '(.)' nl? Stmt | do nl? Stmt while '(.)' ';'? | switch '(.)' Body | try Body (catch '(.)'? Body (finally Body)? | finally Body) | return Expr? E | throw Expr E | (break | continue) id? E | debugger E | with '(.)' nl? Stmt | id ':' nl? Stmt | !function !class Expr E
 Body = '{}' | '{.}'
 Paren = '()' | '(.)'
 Array = '[]' | '[.]'
-Binding = (id | Array | Body) ('=' Assign)?
-ForHead = (var | const | let) (id | Array | Body) (in | of) Expr !. | Postfix (in | of) Expr !. | ((var | const | let) Binding (',' Binding)* | Expr)? ';' Expr? ';' Expr?
+Binding = id ('=' Assign)? | Bound
+Bound = (id | Array | Body) '=' Assign
+ForHead = (var | const | let) (id | Array | Body) (in | of) Expr !. | Postfix (in | of) Expr !. | ((var | let) Binding (',' Binding)* | const Bound (',' Bound)* | Expr)? ';' Expr? ';' Expr?
 Expr = Assign (',' Assign)*
-Assign = Arrow | yield '*'? Assign? | Cond (AssignOp Assign)?
+Assign = Arrow | yield '*'? Assign? | Place AssignOp Assign | Cond
+Place = new* Primary (Call* Tail)+ &AssignOp | (id | Array | Body | '(.)') &AssignOp | (of | async | let) &AssignOp
+Call = Paren | tpl
+Tail = '.' '#'? id | '[.]'
 Arrow = (async? (id | Paren) | id Paren) '=>' (Body | Assign)
 AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
 Cond = Bin ('?' Assign ':' Assign)?
@@ -151,8 +164,8 @@ SwitchBody = nl* ((case Expr | default) ':' Stmt*)*
 """
 
 GO = r"""
-Start = 'file' File | '(' (Params | Args | Group | type | Result0) !. | '(' | '[' ('...' | Index) !. | '[' | '{' Braces
-Braces = Block !. | StructBody !. | LitBody !. | SwitchBody !. | InterfaceBody !.
+Start = 'file' File | '(' (Params | Args | Group | type | Result0) !. | '(' | '[' ('...' | Index) !. | '[' | 'block{' Block | 'struct{' StructBody | 'interface{' InterfaceBody | 'switch{' SwitchBody | 'lit{' LitBody? | '{' Braces
+Braces = Block !. | LitBody? !.
 File = package id ';' (import (ImportSpec | Paren) ';')* (Top ';')* Top?
 Top = func Paren? id '[.]'? Paren Result? Body? | Decl
 ImportSpec = (id | '.')? str
@@ -167,12 +180,12 @@ Result0 = Type (',' Type)* ','?
 Type = '*' Type | '[]' Type | '[.]' Type | map '[.]' Type | '<-' chan Type | chan '<-'? Type | func Paren Result? | struct Body | interface Body | id ('.' id)? '[.]'? | Paren
 Block = (Stmt? ';')* Stmt?
 Stmt = Decl | If | For | Switch | select Body | return Exprs? | break id? | continue id? | goto id | fallthrough | go Expr | defer Expr | Body | id ':' Stmt? | Simple
-Simple = Exprs (':=' | AssignOp) (range Expr | Exprs) | Expr '<-' Expr | Expr ('++' | '--')? !(',' | ':=' | '=')
+Simple = Ids ':=' (range Expr | Exprs) | Exprs AssignOp (range Expr | Exprs) | Expr '<-' Expr | Expr ('++' | '--')? !(',' | ':=' | '=')
 AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^='
-SimpleN = ExprsN (':=' | AssignOp) (range ExprN | ExprsN) | ExprN '<-' ExprN | ExprN ('++' | '--')?
-If = if (SimpleN? ';')? ExprN Body (else (If | Body))?
-For = for (Body | range ExprN Body | SimpleN? ';' ExprN? ';' SimpleN? Body | ExprsN (':=' | '=') range ExprN Body | ExprN Body)
-Switch = switch (SimpleN? ';')? SimpleN? Body
+SimpleN = Ids ':=' (range ExprN | ExprsN) | ExprsN AssignOp (range ExprN | ExprsN) | ExprN '<-' ExprN | ExprN ('++' | '--')?
+If = if (SimpleN? 'head;')? ExprN Body (else (If | Body))?
+For = for (Body | range ExprN Body | SimpleN? 'head;' ExprN? 'head;' SimpleN? Body | (Ids ':=' | ExprsN '=') range ExprN Body | ExprN Body)
+Switch = switch (SimpleN? 'head;')? SimpleN? Body
 Exprs = Expr (',' Expr)*
 ExprsN = ExprN (',' ExprN)*
 Expr = Un (BinOp Un)*
@@ -216,20 +229,6 @@ def accepts(lang: str, kinds: list[str]) -> bool:
     return grammar(lang).accepts("Start", kinds)
 
 
-#: Kinds before a round bracket that say what it must hold.
-PLACES = {
-    "java": ("if", "while", "switch", "synchronized", "for", "catch", "try"),
-    "js": ("if", "while", "switch", "with", "for", "catch", "await"),
-    "py": (),
-    "go": (),
-    "json": (),
-}
-
-
-#: Kinds before a brace in Java that say what it may hold; one after another brace may hold anything.
-JAVA_BRACES = {"=": "init{", "]": "init{", ",": "init{", "(": "init{", "id": "type{", ">": "type{", "{": "{"}
-
-
 @cache
 def neighbours(lang: str) -> frozenset[tuple[str, str]]:
     """Pairs of kinds that may follow each other in a token stream, groups written out.
@@ -242,10 +241,10 @@ def neighbours(lang: str) -> frozenset[tuple[str, str]]:
     block = {"<>": ("indent", "dedent")}
 
     def left(k: str) -> str:  # how a token ends
-        return block[k][1] if k in block else groups[k][1] if k in groups else k
+        return block[k][1] if k in block else groups[k][1] if k in groups else k.removeprefix("head")
 
     def right(k: str) -> str:  # how a token begins
-        return block[k][0] if k in block else groups[k][0] if k in groups else k
+        return block[k][0] if k in block else groups[k][0] if k in groups else k.removeprefix("head")
 
     places = {"file": "^", "block": "indent"}
     out: set[tuple[str, str]] = set()

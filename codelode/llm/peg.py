@@ -2,18 +2,53 @@
 
 A grammar is text, one rule a line: ``name = expression``. Terminals are quoted or bare kinds,
 rules start with a capital letter. ``a b`` is a sequence, ``a | b`` an ordered choice, ``a* a+ a?`` repetition,
-``&a`` and ``!a`` look ahead, ``.`` is any token, ``(`` and ``)`` group. ``\\`` at a line's end continues it.
+``&a`` and ``!a`` look ahead, ``%a`` looks ahead and emits what it meets, ``^'('`` is a bracket with all that stands
+up to its partner, ``.`` is any token, ``(`` and ``)`` group. ``\\`` at a line's end continues it.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Callable, Sequence
-
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
-
-_PART = re.compile(r"\s*(?:'([^']+)'|([A-Za-z_]\w*)|([|()*+?&!.]))")
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+
+#: Calls that one token can add to the depth of a match, and calls below the first.
+CALLS_A_TOKEN, CALLS_BELOW = 200, 6000
+
+_PART = re.compile(r"\s*(?:'([^']+)'|([A-Za-z_]\w*)|([|()*+?&!.^%]))")
+
+#: Partners of brackets, and groups that are skipped by them, under this key of a memo.
+PARTNER = "partner"
+
+
+@contextmanager
+def _room(tokens: int) -> Iterator[None]:
+    """Lets a match go as deep as its tokens can take it. Calls from Python to Python use no machine stack."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, CALLS_BELOW + CALLS_A_TOKEN * tokens))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def partners(kinds: Sequence[str], close: dict[str, str]) -> dict[int, int]:
+    """Place of each opening bracket -> place of its closing one; brackets without partner are left out."""
+    out: dict[int, int] = {}
+    opened = {v: k for k, v in close.items()}
+    stack: list[tuple[str, int]] = []
+    for i, k in enumerate(kinds):
+        if k in close:
+            stack.append((k, i))
+        elif k in opened and stack:
+            if stack[-1][0] == opened[k]:
+                out[stack.pop()[1]] = i
+            elif any(x[0] == opened[k] for x in stack):
+                while stack[-1][0] != opened[k]:
+                    stack.pop()
+                out[stack.pop()[1]] = i
+    return out
 
 
 def _parse(text: str, terminals: set[str]):
@@ -45,8 +80,8 @@ def _parse(text: str, terminals: set[str]):
 
     def prefixed():
         nonlocal pos
-        if parts[pos] in (("o", "&"), ("o", "!")):
-            kind = "and" if parts[pos][1] == "&" else "not"
+        if parts[pos][0] == "o" and parts[pos][1] in "&!%^":
+            kind = {"&": "and", "!": "not", "%": "ahead", "^": "jump"}[parts[pos][1]]
             pos += 1
             return (kind, prefixed())
         return suffixed()
@@ -85,7 +120,9 @@ class Grammar:
             if line and not line.startswith("--"):
                 name, _, body = line.partition(" = ")
                 self.rules[name.strip()] = _parse(body, self.terminals)
-        self._first: dict[str, set[str]] = {}
+        self._held: dict[frozenset[str], frozenset[str]] = {}
+        self._parts: dict[int, Callable] = {}  # expressions live as long as the grammar, so their ids stand for them
+        self._quiet: dict[tuple[int, int], bool] = {}
         self._made: dict[str, Callable] = {}
         self._null = self._nullable()
         self._firsts = self._edges(True)
@@ -107,7 +144,7 @@ class Grammar:
 
     def _empty(self, e, null) -> bool:
         kind = e[0]
-        if kind in ("star", "opt", "and", "not"):
+        if kind in ("star", "opt", "and", "not", "ahead"):
             return True
         if kind == "rule":
             return e[1] in null
@@ -140,9 +177,9 @@ class Grammar:
             return {"*"}
         if kind == "rule":
             return sets[e[1]]
-        if kind in ("and", "not"):
+        if kind in ("and", "not", "ahead"):
             return set()
-        if kind in ("star", "plus", "opt"):
+        if kind in ("star", "plus", "opt", "jump"):
             return self._edge(e[1], sets, first)
         if kind == "alt":
             return set().union(*(self._edge(x, sets, first) for x in e[1:]))
@@ -164,7 +201,7 @@ class Grammar:
             if e[0] == "seq":
                 for i in range(1, len(e)):
                     for j in range(i + 1, len(e)):
-                        if e[j][0] not in ("and", "not"):
+                        if e[j][0] not in ("and", "not", "ahead"):
                             out.update((a, b) for a in self._edge(e[i], lasts, False) for b in self._edge(e[j], firsts, True))
                         if not self._empty(e[j], self._null):
                             break
@@ -206,7 +243,14 @@ class Grammar:
             if name not in self.rules:
                 raise ValueError(f"no rule {name}")
             return lambda k, i, m: made[name](k, i, m)
-        if kind == "and":
+        if kind == "jump":
+            t = e[1][1]
+
+            def jump(k, i, m):
+                return m[PARTNER].get(i, -2) + 1 if k[i] == t else -1
+
+            return jump
+        if kind in ("and", "ahead"):
             f = self._compile(e[1])
             return lambda k, i, m: i if f(k, i, m) >= 0 else -1
         if kind == "not":
@@ -263,25 +307,29 @@ class Grammar:
         return seq
 
     def match(self, rule: str, kinds: Sequence[str], at: int = 0, memo: dict | None = None) -> int:
-        """``kinds`` must end with ``$end``."""
-        return self._made[rule](kinds, at, {} if memo is None else memo)
+        """``kinds`` must end with ``$end``. However deep brackets and statements nest, the match is followed to its end."""
+        with _room(len(kinds)):
+            return self._made[rule](kinds, at, {} if memo is None else memo)
 
     def accepts(self, rule: str, kinds: Sequence[str]) -> bool:
         k = [*kinds, "$end"]
         return self.match(rule, k) == len(k) - 1
 
-    def tree(self, rule: str, kinds: Sequence[str], keep: frozenset[str]) -> list[tuple] | None:
+    def tree(self, rule: str, kinds: Sequence[str], keep: frozenset[str], pairs: dict[int, int] | None = None) -> list[tuple] | None:
         """Nodes ``(name, start, end, children)`` of the kept rules in the parse of ``kinds``, or None.
 
         The parse is followed once more along the memo, so only what was accepted is emitted.
+        ``pairs`` are the partners of the brackets, where the grammar jumps to them.
         """
         k = [*kinds, "$end"]
-        memo: dict = {}
+        memo: dict = {PARTNER: pairs or {}}
         if self.match(rule, k, 0, memo) < 0:
             return None
-        holds = self._holders(keep)
+        if keep not in self._held:
+            self._held[keep] = self._holders(keep)
         out: list[tuple] = []
-        self._follow(("rule", rule), k, 0, memo, keep, holds, out)
+        with _room(len(k)):
+            self._follow(("rule", rule), k, 0, memo, keep, self._held[keep], out)
         return out
 
     def _holders(self, keep: frozenset[str]) -> frozenset[str]:
@@ -298,6 +346,8 @@ class Grammar:
 
     def _follow(self, e, k, i, memo, keep, holds, out) -> int:
         kind = e[0]
+        if kind != "rule" and self._silent(e, holds):
+            return self._part(e)(k, i, memo)
         if kind == "rule":
             end = self._made[e[1]](k, i, memo)
             if end < 0 or e[1] not in holds:
@@ -325,6 +375,8 @@ class Grammar:
                     return j
                 del out[mark:]
             return -1
+        if kind == "ahead":
+            return i if self._follow(e[1], k, i, memo, keep, holds, out) >= 0 else -1
         if kind in ("star", "plus", "opt"):
             n = 0
             while True:
@@ -339,4 +391,17 @@ class Grammar:
                     break
                 i = j
             return -1 if kind == "plus" and not n else i
-        return self._compile(e)(k, i, memo)
+        return self._part(e)(k, i, memo)
+
+    def _part(self, e) -> Callable:
+        part = self._parts.get(id(e))
+        if part is None:
+            part = self._parts[id(e)] = self._compile(e)
+        return part
+
+    def _silent(self, e, holds: frozenset[str]) -> bool:
+        """Whether no kept rule can occur in the matches of an expression."""
+        got = self._quiet.get((id(e), id(holds)))
+        if got is None:
+            got = self._quiet[id(e), id(holds)] = not self._names(e) & holds
+        return got

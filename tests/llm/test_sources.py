@@ -8,7 +8,7 @@ from codelode.llm import grammars
 from codelode.llm.documented import documented_functions, functions, p2_found
 from codelode.llm.handwritten import declared, glob_regex, hand_written, judge_files, p4_found, parse_attributes, resolve
 from codelode.llm.informative import informative
-from codelode.llm.lexing import lex
+from codelode.llm.lexing import lex, scan
 from codelode.llm.peg import Grammar
 from codelode.llm.syntax import invalid_files, p6_found, syntax_rates
 
@@ -40,12 +40,40 @@ INVALID = {
     ".go": ["", "func f() {}\n", "package a\nfunc f( {\n}\n", "package a\nfunc f() {\n\tif x {\n", "package a\nvar x = = 1\n", "package a\nfunc f() int {\n\treturn 1 2\n}\n", "<html></html>", "package a\nimport \"x\nfunc f() {}\n"],
     ".json": ["", "{", "{'a': 1}", "[1,]", "{\"a\": 1,}", "// c\n{}", "NaN", "01", "{\"a\" 1}", "[1] [2]", "\"\ttab\""],
 }
+MORE_VALID = {
+    ".java": [
+        "class A { non-sealed class B extends C {} int f()[] { return null; } Object o = new Object() { int x; void g() {} }; void h() { foo(new R() { public void run() { x(); } }); new T().start(); this.a.b[0].c = d = 3; ((A) b).c(); i++; --j; a.b().c += 1; super.f(); A.<T>g(); switch (x) { case 1: { y(); } default: z(); } } @A({1, 2}) int q; @B(x = {}) void r() {} static { s(); } }",
+        "enum E { A { int f() { return 1; } }, B(2) { }; E() {} int f() { return 0; } }", "interface I { int f(); default int g() { return 1; } } @interface J { String[] v() default {}; }", "record P<T>(int a) implements Q { P { } static int f() { return 1; } }",
+        "class A { int[][] a = {{1, 2}, {3}}; void f() throws E { int[] b = new int[] {1}; var c = new int[2][]; for (int x : new int[] {1}) { } Supplier<A> s = () -> new A() {}; s = A::new; synchronized (this) { } do { } while (x); l: for (;;) { break l; } } }", "class A { String f(Object o) { return switch (o) { case Integer i -> \"\"; default -> { yield \"x\"; } }; } class B {} enum C { X } }",
+    ],
+    ".js": [
+        "for (;;) { if (a) break; else continue }\nwhile (x) y(() => { for (const z of w) { break } })\nswitch (a) { case 1: { break } default: break }\nl: { break l }\nfor (const k in o) if (k) continue\ndo { break } while (1)\n", "let a, b = 1\nvar [c] = d, {e} = f\na.b(c).d = 1; a[0] = b = c; [a, b] = [b, a]; ({a} = b); new A().b = 3; x ||= 4; of = 1; `a${b + `c${d}`}e`; tag`x${y}`.z = 1; (a) = 3\n",
+        "class A { static { a() } get b() { return 1 } async c() { await d } }\nasync () => { await x; for await (const y of z) { break } }\nvar await = 3; module.exports = { async f() {}, g: class {}, h() {}, break: 1 }\na.break()\n", "const f = function () { return { a: 1 } }, g = class B extends C(d) { e() { } }\nswitch (x) {}\nif (a) {} else {}\ntry {} catch ({a}) {} finally {}\nx = a ? {b: 1} : {}\nreturn {\n a\n}\n", "if (a)\n  b()\nelse\n  c()\nfor (;;)\n  d()\n", "x = `a ${'}'} \\` ${{a: 1}.a} b`\n",
+    ],
+    ".go": ["package a\nfunc f() []string {\n\tfor _, x := range []string{\"a\"} {\n\t\t_ = x\n\t}\n\tif x == a[i] {\n\t}\n\tfor _, t := range []struct{ a int }{{1}, {2}} {\n\t\tg(t)\n\t}\n\tif f := func() int { return 1 }(); f > 1 {\n\t}\n\tm := map[string]func(){\"a\": f}\n\tvar x interface{} = T{}\n\tswitch {\n\tcase a:\n\t\t{\n\t\t}\n\t}\n\treturn []string{}\n}\n\nfunc g(a func(int) error) (x int) {\n\tfor i := range 10 {\n\t}\n\tgo func() {\n\t}()\n\ts := &pkg.T{A: []*B{{1}}, C: map[string][]int{\"a\": {1}}}\n\tx, y := 1, 2\n\ta.b, c = d, e\n\tselect {}\n}\ntype F func(a int) error\ntype G struct{}\ntype H interface{ M() }\nvar t = T[int]{1}\nfunc h() interface{} { return struct{ a int }{1} }\nfunc k(x map[string]struct{}) struct{} { return struct{}{} }\n"],
+    ".py": ["f(a, *b, c=1, *d, **e, f=2)\nf(x for x in y)\ndef g(a, b=1, /, c=2, *, d, e=3, **f): pass\ndef h(*a, b): pass\ndef k[T](a: T = 1, *b: *T) -> T: pass\nclass A(B, metaclass=C): pass\nf(**a, **b)\nlambda a, /, b=1, *c, d, **e: 0\n"],
+}
+MORE_INVALID = {
+    ".js": ["const a;", "1 = x", "a + b = c", "break\n", "if (a) { continue }", "function f() { await x }\n", "f() = 1", "`a${b c}`", "`a${}`", "let {a}\n", "for (const x; ;) {}", "while (1) { function f() { break } }", "`a${b"],
+    ".java": ["class A { void f() { x + 1; } }", "class A { void f() { 5; } }", "class A { void f() { case 1: x(); } }", "class A { foo(); }", "class A { void f() { 1 = x; } }", "class A { void f() { f() = 1; } }", "class A { void f() { a b c; } }"],
+    ".go": ["package a\nfunc f() {\n\ta b\n}\n", "package a\nfunc f() {\n\tf() := 1\n}\n", "package a\nfunc f() {\n\tcase 1:\n}\n"],
+    ".py": ["f(a=1, 2)\n", "def f(a=1, b): pass\n", "f(**a, *b)\n", "def f(**a, b): pass\n", "@a\nx = 1\n"],
+}
+for more, table in ((MORE_VALID, VALID), (MORE_INVALID, INVALID)):
+    for suffix, texts in more.items():
+        table[suffix].extend(texts)
+DEEP = {".js": "/** Blocks until done. */\nfunction f() { return " + "(" * 2000 + "1" + ")" * 2000 + " }\n", ".java": "class A {\n  /** Blocks until done. */\n  int f() { return " + "(" * 2000 + "1" + ")" * 2000 + "; }\n}\n", ".go": "package a\n\n// Blocks until done.\nfunc f() int {\n\treturn " + "(" * 2000 + "1" + ")" * 2000 + "\n}\n"}
+CHAIN = "".join("if (a) { b() } else " for _ in range(2000))
 FILES = "path string, repo string, suffix string, content string"
 
 
 def test_syntax(spark):
     rows = [(f"r/{kind}{i}{s}", f"r{i % 2}", s, t) for kind, table in (("ok", VALID), ("bad", INVALID)) for s, texts in table.items() for i, t in enumerate(texts)]
     rows += [rows[0], ("r/null.py", "r1", ".py", None), ("r/x.txt", "r1", ".txt", "a b"), (None, None, ".py", "("), ("r/long.py", "r1", ".py", "x = [1]\n" * 20_000 + "y = (\n"), ("r/deep.json", "r1", ".json", "[" * 200 + "]" * 200)]
+    rows += [(f"r/deep{s}", "r1", s, t) for s, t in DEEP.items()] + [(f"r/bad_deep{s}", "r1", s, t.replace("1)", "1 2)")) for s, t in DEEP.items()]
+    rows += [("r/chain.js", "r1", ".js", CHAIN + "c()\n"), ("r/bad_chain.js", "r1", ".js", CHAIN + "c(\n}\n"), ("r/bad_chain2.js", "r1", ".js", CHAIN + "a b\n")]
+    # Delivered twice with two contents, one of them sound: reported.
+    rows += [("r/bad_twice.py", "r1", ".py", "x = (\n"), ("r/bad_twice.py", "r1", ".py", "x = 1\n")]
     df = spark.createDataFrame(rows, FILES).withColumn("reason", F.lit("clash")).withColumn("lang", F.lit(1))
     got = {r[0] for r in p6_found(df).collect()}
     assert got == {p for p, _, _, _ in rows if p and "/bad" in p} | {"r/long.py"}
@@ -70,6 +98,18 @@ def test_python_levels_agree_with_the_parser(parts):
         assert all(p in table for p in zip(kinds, kinds[1:]))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([*"abc([{}])`/'\"\\ \n\t;.,:=<$#*-+\ufeff", "let ", "async ", "${", "012", "1.5e3", "0x", "//", "/*", "*/", '"""', "'x'", "non-sealed", "é"]), max_size=25), st.sampled_from(["py", "java", "js", "go", "json"]))
+def test_lexers_keep_every_character(parts, lang):
+    """Pieces give the text back; tokens are in order and hold what stands there."""
+    text = "".join(parts)
+    read = scan(text, lang, comments=True)
+    assert "".join(read.pieces) == text
+    spans = [read.span(i) for i in range(len(read.kinds))]
+    assert all(a <= b for a, b in spans) and all(a[0] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert all(text[a:b] == read.text(i) for i, (a, b) in enumerate(spans))
+
+
 def test_peg_memo_and_pairs():
     g = Grammar("S = a T* 'b' | a c\nT = x (y | z)?\n")
     assert g.accepts("S", ["a", "x", "y", "x", "b"]) and g.accepts("S", ["a", "c"]) and not g.accepts("S", ["a", "x"])
@@ -123,9 +163,10 @@ def test_informative(doc, useful):
 
 def test_pairs_table(spark):
     rows = [("r/a.py", "r", ".py", PY), ("r/a.py", "r", ".py", PY), ("r/B.java", "r", ".java", JAVA), ("r/c.js", "r", ".js", JS), ("r/d.go", "r", ".go", GO), ("r/bad.py", "r", ".py", PY + "\nx = (\n"), ("r/n.py", "r", ".py", None), ("r/e.py", "r", ".py", ""), ("r/o.java", "r", ".java", "class O { /** Same. */ void f() {} /** Blocks for ever. */ void f(int a) {} }")]
+    rows += [(f"r/deep{s}", "r", s, t) for s, t in DEEP.items()]
     df = spark.createDataFrame(rows, FILES).withColumn("name", F.lit(1))
     got = {(r.path[2:], r.qualified_name) for r in p2_found(df).collect()}
-    assert got == {("a.py", "top"), ("a.py", "C.m"), ("a.py", "C.cond"), ("B.java", "A.f"), ("B.java", "A.B.h"), ("c.js", "f"), ("c.js", "C.g"), ("c.js", "k"), ("d.go", "Undo"), ("d.go", "Recv.M"), ("o.java", "O.f")}
+    assert got == {("deep.js", "f"), ("deep.java", "A.f"), ("deep.go", "f"), ("a.py", "top"), ("a.py", "C.m"), ("a.py", "C.cond"), ("B.java", "A.f"), ("B.java", "A.B.h"), ("c.js", "f"), ("c.js", "C.g"), ("c.js", "k"), ("d.go", "Undo"), ("d.go", "Recv.M"), ("o.java", "O.f")}
     t = documented_functions(df).where("qualified_name = 'top'").collect()
     assert len(t) == 1 and t[0].start_line == 2 and t[0].code.startswith("def top(a):")
     assert p2_found(df.limit(0)).count() == 0
