@@ -10,7 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from codelode.llm.lexing import LANGUAGES, lex
+from codelode.llm.lexing import LANGUAGES, Lexed, scan
 from codelode.session import cut_lineage
 
 CODE = (".py", ".java", ".js", ".go")
@@ -97,6 +97,7 @@ _TOOL = re.compile(r"\b[a-z][\w-]+ v?\d+\.\d+(?:\.\d+)?\b", re.I)
 _ORIGIN = re.compile(r"\W*(?:source|input|from|quelle)\s*: \S+\.[a-z]+\W*$", re.I)
 _OWNER = re.compile(r"copyright (?:\(c\)|©)?\s*[\d, -]+\s+(?:by )?(?:the )?([\w-]+) (?:authors|contributors|project|developers)", re.I)
 _COMMENT = re.compile(r"[ +-]?\s*(?:#|//|\*|/\*)")
+_COMMENT_LINE = re.compile(r"^[ +-]?[^\S\n]*(?:#|//|\*|/\*).*", re.M)
 _NAME = re.compile(r"(.*?)(?:_[0-9a-z]{1,4})?((?:Gen|_pb2|_gen)?(?:\.(?:min|pb|g|gen|bundle))?(?:\.[0-9a-f]{6,})?\.\w+)$")
 _HASH = re.compile(r"\.[0-9a-f]{6,}(?=\.)")
 #: Words that stay as they are in a line's shape.
@@ -110,9 +111,8 @@ def declared(text: str, repo: str) -> str | None:
     from; hand-written files that only talk about generated ones do not. A vendored file's line
     gives the copyright to a project other than the repository.
     """
-    for line in text.split("\n"):
-        if not _COMMENT.match(line):
-            continue
+    for m in _COMMENT_LINE.finditer(text):
+        line = m.group()
         if _MARK.search(line) and _TOOL.search(line) or _ORIGIN.match(line):
             return "generated"
         m = _OWNER.search(line)
@@ -125,44 +125,68 @@ def declared(text: str, repo: str) -> str | None:
 _ROW = re.compile(r"(?:-|(?<!\w))\w++, ?(?:-?\w++, ?)*")
 
 
+_WORD = re.compile(r"[A-Za-z_]\w*")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_AMOUNT = re.compile(r"\d+(?:\.\d+)?")
+
+
+def line_shape(line: str) -> str:
+    """A line with names, numbers, strings and lists abstracted; a comment has no shape."""
+    if _COMMENT.match(line):
+        return ""
+    line = _AMOUNT.sub("0", _QUOTED.sub("s", line))
+    return _ROW.sub("L", _WORD.sub(lambda m: m.group() if m.group() in _KEPT else "w", line))
+
+
+#: Shapes of short lines that were seen before; longer ones, and those beyond this many, are made anew.
+_SHAPES: dict[str, str] = {}
+_MOST_SHAPES, _SHORT_LINE = 200_000, 80
+
+
 def line_shapes(text: str) -> set[str]:
-    """Lines with names, numbers, strings and lists abstracted; comments left out."""
+    """Shapes of the lines of a text."""
     out = set()
-    for line in text.split("\n"):
-        line = line.strip()
-        if not line or _COMMENT.match(line):
-            continue
-        line = re.sub(r"\"[^\"]*\"|'[^']*'", "s", line)
-        line = re.sub(r"\d+(?:\.\d+)?", "0", line)
-        line = re.sub(r"[A-Za-z_]\w*", lambda m: m.group() if m.group() in _KEPT else "w", line)
-        out.add(_ROW.sub("L", line))
+    for line in {*map(str.strip, text.split("\n"))}:
+        shape = _SHAPES.get(line)
+        if shape is None:
+            shape = line_shape(line)
+            if len(line) <= _SHORT_LINE and len(_SHAPES) < _MOST_SHAPES:
+                _SHAPES[line] = shape
+        out.add(shape)
+    out.discard("")
     return out
 
 
-def frame_words(text: str, tokens: list[tuple[str, int, int]]) -> int:
+_LITERAL = frozenset(["num", "str", "tpl", "err"])
+_LAYOUT = frozenset(["nl", "indent", "dedent"])
+
+
+def frame_words(read: Lexed) -> int:
     """Different names and keywords besides unquoted keys: what a table is set in, however many rows it has."""
-    t = [x for x in tokens if x[0] not in ("nl", "indent", "dedent")]
-    key = lambda i: t[i][0] == "id" and 0 < i < len(t) - 1 and t[i - 1][0] in ("{", ",") and t[i + 1][0] == ":"
-    return len({text[a:b] for i, (k, a, b) in enumerate(t) if k not in ("num", "str", "tpl", "err") and (k == "id" or k.isalpha()) and not key(i)})
+    t = [(k, i) for i, k in enumerate(read.kinds) if k not in _LAYOUT]
+    key = lambda j: t[j][0] == "id" and 0 < j < len(t) - 1 and t[j - 1][0] in ("{", ",") and t[j + 1][0] == ":"
+    return len({read.text(i) for j, (k, i) in enumerate(t) if k not in _LITERAL and (k == "id" or k.isalpha()) and not key(j)})
 
 
 def features(path: str, repo: str, suffix: str, text: str, p: MiningParams) -> tuple:
     import xxhash
 
-    tokens = lex(text, LANGUAGES[suffix])
-    literal = sum(b - a for k, a, b in tokens if k in ("num", "str", "tpl", "err"))
-    words = [b - a for k, a, b in tokens if k not in ("num", "str", "tpl", "err", "nl", "indent", "dedent") and (k == "id" or k.isalpha())]
+    read = scan(text, LANGUAGES[suffix])
+    # Tokens with their characters; blanks before a token in a piece do not count.
+    texts = [(k, read.pieces[at].strip()) for k, at in zip(read.kinds, read.at) if at >= 0]
+    literal = sum(len(x) for k, x in texts if k in _LITERAL)
+    words = sum(len(x) for k, x in texts if k not in _LITERAL and k not in _LAYOUT and (k == "id" or k.isalpha()))
     blank = sum(map(text.count, " \t\r\n")) / max(1, len(text))
     # A bare object or list is a JSON text under a wrong suffix, not data put into code.
-    bare = bool(tokens) and next((k for k, _, _ in tokens if k not in ("nl", "indent")), "") in ("{", "[")
+    bare = next((k for k in read.kinds if k not in ("nl", "indent")), "") in ("{", "[")
     minified = not bare and blank < p.blank_share and max(map(len, text.split("\n"))) > p.long_line
-    data = not bare and literal > 300 and frame_words(text, tokens) <= p.data_words and sum(words) * 5 < literal
-    key = xxhash.xxh64_intdigest("\0".join(text[a:b] for _, a, b in tokens if b > a).encode("utf-8", "replace")) - (1 << 63)
+    data = not bare and literal > 300 and words * 5 < literal and frame_words(read) <= p.data_words
+    key = xxhash.xxh64_intdigest("\0".join([x for k, x in texts if x]).encode("utf-8", "replace")) - (1 << 63)
     name = path.rsplit("/", 1)[-1]
     m = _NAME.match(name)
     stem, tail = (m[1], m[2]) if m else (name, "")
     shapes = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in sorted(line_shapes(text))]
-    return path, repo, suffix, declared(text, repo or ""), minified, data, key, len(tokens), stem, "*" + _HASH.sub(".HASH", tail), path.split("/")[1:-1], shapes
+    return path, repo, suffix, declared(text, repo or ""), minified, data, key, len(read.kinds), stem, "*" + _HASH.sub(".HASH", tail), path.split("/")[1:-1], shapes
 
 
 FEATURES = "path string, repo string, suffix string, declared string, minified boolean, data boolean, key long, tokens int, stem string, name string, dirs array<string>, shapes array<long>"
