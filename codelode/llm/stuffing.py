@@ -1,8 +1,9 @@
-"""Keyword-stuffed and link-list pages, by the perplexity of word-class sequences."""
+"""Keyword-stuffed and link-list pages, by n-gram models of word classes and function words trained on the table's prose."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,33 +13,28 @@ from pyspark.sql import DataFrame, functions as F
 
 from codelode.session import cut_lineage
 
-# Frequent function words of English, German, Spanish and French.
-FUNCTION_WORDS = frozenset(
-    """
-    a about after all an and any are as at be because been before but by can could did do does for from had has have
-    how i if in into is it its may me more my no nor not of on once one or our out should since so than that the their then there
-    these they this to two until up was we were what when where which while who whose why will with without would you
-    aber als am auf aus bei bis das dass dem den der des die doch durch ein eine einen einer es für hat haben ich im indem ist
-    kann keine mit nach nicht nichts noch nur oder sich sie sind so um und vom von vor war warum weil wenn wer wie wir wird zu zum zur über
-    al como con cuando de del desde donde el ella en es esta este está fue ha han hay la las lo los más no nos para pero por que se si
-    sin su sus un una uno y ya
-    au aucun aux avant avec ce cela ces cette dans depuis du elle est et il je le les leur lorsque mais même ne nous on où par pas
-    plus pour qu que qui quand sa sans se ses si sont sous sur une vers à été
-    """.split()
-)
-
-CLASSES = ("edge", "F", "I", "N", "X", "U", ",", ".", ":", "-", "|", "/", ";", "#", "(", '"', "$", "?", "=", "O1", "O2", "O3", "O4", "O5", "O6")
+CLASSES = ("edge", "F", "G", "S", "I", "N", "X", "U", ",", ".", ":", "-", "|", "/", ";", "#", "(", '"', "$", "?", "=", "O1", "O2", "O3", "O4", "O5", "O6")
 CODE = {c: i for i, c in enumerate(CLASSES)}
-OPEN = CODE["O1"]
+FUNCTION, LONGER, SHORT, OPEN = (CODE[c] for c in ("F", "G", "S", "O1"))  # F and G: short and longer function words
 LONGEST_RUN = 6
 
 
 @dataclass(frozen=True)
 class StuffingParams:
     unit_words: int = 12  # short lines are put together up to this many words
-    z_high: float = 3.0  # deviations above prose's mean surprise that are abnormal
-    z_low: float = -6.0
-    sentence_words: float = 0.125  # units with this share of function words are sentences all the same
+    often: float = 0.05  # share of a page's words from which a word is too often repeated for a function word ...
+    least_often: int = 3  # ... if it occurs so many times
+    z_high: float = 1.0  # deviations above prose's mean surprise that are abnormal
+    z_low: float = -1.0
+    z_function: float = 2.5  # deviations by which function words must be missing around a unit whose classes are abnormal ...
+    z_missing: float = 3.0  # ... and around any other
+    few_words: float = 0.5  # share of words among the codes below which it is enough that function words miss at all ...
+    no_words: float = 0.25  # ... and below which they are not asked for
+    reach: int = 4  # units before and after that are judged together with a unit
+    frequent: float = 0.003  # words with this share of a language's sentences are function words
+    known_language: float = 0.001  # share of all sentence words that a language must have to give function words
+    sentence_words: int = 6  # words that make a line with a capital and a full stop a sentence, on average
+    short: int = 3  # other words of so many letters stand for function words of languages the table lacks
     least_codes: int = 8  # class codes that a page's abnormal units must have together
     references: int = 8  # longest list of links that a written page may end with
     share: float = 0.5  # abnormal share of a page's characters
@@ -62,61 +58,77 @@ LONG = 400  # characters from which a piece is cut before its parts are looked a
 ENCODED = 40  # mean characters between slashes from which a long run is encoded data, not words
 
 
-def _core_classes(core: str) -> list[int]:
-    low = core.lower()
-    if low in FUNCTION_WORDS:
-        return [CODE["F"]]
-    if _NUMBER.match(core):
-        return [CODE["N"]]
-    if low in _MONEY:
-        return [CODE["$"]]
-    bracketed = re.search(r"[=(){}\[\]<>]", core)
-    if not bracketed and _LIST.search(core):
-        # Words joined without blanks are words all the same.
-        return [c for x in _LIST.split(core) if x for c in ([CODE[_MARKS[x]]] if x in _MARKS else piece_classes(x))]
-    if bracketed or "_" in core or _CAMEL.search(core) or _FILE.search(core):
-        return [CODE["I"]]
-    if re.search(r"\d", core):
-        return [CODE["X"]]
-    parts = [p for p in re.split(r"([-'’/.:])", core) if p]
-    return [CODE[_MARKS[p]] if p in _MARKS else CODE["F"] if p.lower() in FUNCTION_WORDS else OPEN for p in parts]
-
-
-def piece_classes(piece: str) -> bytes:
-    """Class codes of a piece of text between blanks."""
-    if ";base64," in piece and len(parts := _DATA.split(piece)) > 1:
-        # Embedded data is one unbroken run; every second part is such data.
-        return b"".join(bytes([CODE["X"]]) if k % 2 else piece_classes(x) for k, x in enumerate(parts) if x)
-    if len(piece) >= LONG:
-        return _long_classes(piece)
-    if _URL.search(piece) and not _FILE.search(piece.strip(".,;:()[]")):
-        if _LINKS.search(piece):
-            return b"".join(bytes([CODE[_MARKS[x]]]) if x in _MARKS else piece_classes(x) for x in _LINKS.split(piece) if x)
-        lead = b"" if piece[0].isalnum() else bytes([CODE[_MARKS.get(piece[0], "=")]])
-        return lead + bytes([CODE["U"]])
-    lead, core, tail = _CORE.match(piece).groups()
-    out = [CODE[_MARKS.get(c, "=")] for c in lead]
-    if core:
-        out += _core_classes(core)
-    out += [CODE[_MARKS.get(c, "=")] for c in tail]
-    return bytes(out)
-
-
-def _long_classes(piece: str) -> bytes:
-    """Class codes of a long piece: cut at list marks, then at slashes; only an unbroken run is one ``X``."""
-    out = []
-    for x in _LIST.split(piece):
-        if x in _MARKS:
-            out.append(bytes([CODE[_MARKS[x]]]))
-        elif len(x) < LONG:
-            out.append(piece_classes(x) if x else b"")
-        elif _URL.search(x):
-            out.append(bytes([CODE["U"]]))
-        elif len(x) <= ENCODED * (x.count("/") + 1):
-            out.extend(bytes([CODE["/"]]) if y == "/" else piece_classes(y) if 0 < len(y) < LONG else bytes([CODE["X"]] * bool(y)) for y in re.split("(/)", x))
-        else:
-            out.append(bytes([CODE["X"]]))
-    return b"".join(out)
+_ALPHA = re.compile(r"[^\W\d_]+")
+
+
+class Words:
+    """Classes of words: frequent in sentences, short, or open; other pieces by their form.
+
+    A word that a page repeats too often to be one of its function words is open.
+    """
+
+    def __init__(self, frequent: frozenset[str], p: StuffingParams, repeated: frozenset[str] = frozenset()) -> None:
+        self.frequent, self.p, self.repeated = frequent, p, repeated
+
+    def word(self, low: str) -> int:
+        if low in self.repeated:
+            return OPEN
+        brief = len(low) <= self.p.short
+        return (FUNCTION if brief else LONGER) if low in self.frequent else SHORT if brief else OPEN
+
+    def core(self, core: str) -> list[int]:
+        low = core.lower()
+        if low in self.frequent or low.isalpha() and low not in _MONEY and not _CAMEL.search(core):
+            return [self.word(low)]
+        if _NUMBER.match(core):
+            return [CODE["N"]]
+        if low in _MONEY:
+            return [CODE["$"]]
+        bracketed = re.search(r"[=(){}\[\]<>]", core)
+        if not bracketed and _LIST.search(core):
+            # Words joined without blanks are words all the same.
+            return [c for x in _LIST.split(core) if x for c in ([CODE[_MARKS[x]]] if x in _MARKS else self.piece(x))]
+        if bracketed or "_" in core or _CAMEL.search(core) or _FILE.search(core):
+            return [CODE["I"]]
+        if re.search(r"\d", core):
+            return [CODE["X"]]
+        parts = [p for p in re.split(r"([-'’/.:])", core) if p]
+        return [CODE[_MARKS[p]] if p in _MARKS else self.word(p.lower()) for p in parts]
+
+    def piece(self, piece: str) -> bytes:
+        """Class codes of a piece of text between blanks."""
+        if ";base64," in piece and len(parts := _DATA.split(piece)) > 1:
+            # Embedded data is one unbroken run; every second part is such data.
+            return b"".join(bytes([CODE["X"]]) if k % 2 else self.piece(x) for k, x in enumerate(parts) if x)
+        if len(piece) >= LONG:
+            return self.long(piece)
+        if _URL.search(piece) and not _FILE.search(piece.strip(".,;:()[]")):
+            if _LINKS.search(piece):
+                return b"".join(bytes([CODE[_MARKS[x]]]) if x in _MARKS else self.piece(x) for x in _LINKS.split(piece) if x)
+            lead = b"" if piece[0].isalnum() else bytes([CODE[_MARKS.get(piece[0], "=")]])
+            return lead + bytes([CODE["U"]])
+        lead, core, tail = _CORE.match(piece).groups()
+        out = [CODE[_MARKS.get(c, "=")] for c in lead]
+        if core:
+            out += self.core(core)
+        out += [CODE[_MARKS.get(c, "=")] for c in tail]
+        return bytes(out)
+
+    def long(self, piece: str) -> bytes:
+        """Class codes of a long piece: cut at list marks, then at slashes; only an unbroken run is one ``X``."""
+        out = []
+        for x in _LIST.split(piece):
+            if x in _MARKS:
+                out.append(bytes([CODE[_MARKS[x]]]))
+            elif len(x) < LONG:
+                out.append(self.piece(x) if x else b"")
+            elif _URL.search(x):
+                out.append(bytes([CODE["U"]]))
+            elif len(x) <= ENCODED * (x.count("/") + 1):
+                out.extend(bytes([CODE["/"]]) if y == "/" else self.piece(y) if 0 < len(y) < LONG else bytes([CODE["X"]] * bool(y)) for y in re.split("(/)", x))
+            else:
+                out.append(bytes([CODE["X"]]))
+        return b"".join(out)
 
 
 _LOG = re.compile(r"^\W*\d{1,2}:\d{2}(?::\d{2})?\b|\b(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|PASS|FAIL|FAILED|SKIP|OK)\b|^\s*(?:File \"|Traceback|at [\w.$]+\()|^\s*(?:[-+@]{2,}|diff )")
@@ -137,28 +149,45 @@ def technical(line: str, fenced: bool) -> bool:
 
 
 _LINK_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])?\s*(?:\[[^\]]*\]\(\S+\)|<?\w+://\S+>?)[.,;]?\s*$")
-_TAG = re.compile(r"</?(?:p|b|i|u|em|strong|div|span|code|blockquote|h\d)(?:\s[^<>]{0,100})?>")
+_TAG = re.compile(r"</?(?:p|b|i|u|em|strong|div|span|code|blockquote|h\d)(?:\s[^<>]*)?>")
 
 
 class Reader:
     """Texts to class codes, unit by unit; pieces seen before are looked up."""
 
-    def __init__(self, p: StuffingParams) -> None:
+    def __init__(self, p: StuffingParams, frequent: frozenset[str] = frozenset()) -> None:
         self.p = p
+        self.words = Words(frequent, p)
         self.known: dict[str, bytes] = {}
+        self.page: dict[str, bytes] = {}  # pieces of this page that hold a repeated word
 
     def codes(self, pieces: list[str]) -> bytes:
-        known = self.known
+        known, page = self.known, self.page
         out = []
         for x in pieces:
-            c = known.get(x)
+            c = page.get(x) if page else None
+            if c is None:
+                c = known.get(x)
             if c is None:
-                c = piece_classes(x)
+                c = self.words.piece(x)
                 if len(known) < 400_000 and len(x) < 40:
                     known[x] = c
             out.append(c)
         return b"".join(out)
 
+    def turn(self, text: str) -> None:
+        """Looks up what a page repeats: words of four letters, and of three that are not frequent in sentences."""
+        p = self.p
+        count = Counter(_ALPHA.findall(text.lower()))
+        least = max(p.least_often, p.often * count.total())
+        often = frozenset(w for w, n in count.items() if n >= least and (len(w) > p.short or len(w) == p.short and w not in self.words.frequent))
+        self.page = {}
+        if often:
+            words = Words(self.words.frequent, p, often)
+            for x in {*text.split()}:
+                if len(x) < LONG and not often.isdisjoint(_ALPHA.findall(x.lower())):
+                    self.page[x] = words.piece(x)
+
     def references(self, lines: list[str]) -> set[int]:
         """Lines of link lists that a short heading with a colon introduces, if they are short."""
         out: set[int] = set()
@@ -199,6 +228,7 @@ class Reader:
         fenced = False
         if "<" in text:
             text = _TAG.sub(" ", text)
+        self.turn(text)
         lines = text.split("\n")
         references = self.references(lines) if "://" in text else ()
         for at_line, line in enumerate(lines):
@@ -242,9 +272,44 @@ class Reader:
 READ = "doc_id long, codes binary, lengths array<int>, sizes array<int>, kinds array<int>"
 
 
-def _read(p: StuffingParams):
+_SENTENCE = re.compile(r"(?<![^\s>*-])[^\W\d_a-z][^.!?\n|<>]{30,}[.!?](?=\s|$)")
+
+
+def _sentences(p: StuffingParams):
+    """Counts of the words of sentences, by language as given."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: dict[str, Counter] = {}
+        for pdf in batches:
+            held: dict[str, list[str]] = {}
+            for lang, text in zip(pdf["lang"], pdf["text"]):
+                held.setdefault((lang or "").strip().lower(), []).extend(x for x in _SENTENCE.findall(text) if x.count(" ") >= p.sentence_words)
+            for lang, found in held.items():
+                n.setdefault(lang, Counter()).update(_ALPHA.findall("\n".join(found).lower()))
+        rows = [(lang, w, k) for lang, c in n.items() for w, k in c.items()]
+        yield pd.DataFrame(rows, columns=["lang", "word", "n"]).astype({"n": "int64"})
+
+    return run
+
+
+def function_words(documents: DataFrame, p: StuffingParams = StuffingParams()) -> frozenset[str]:
+    """The words that are frequent in the sentences of a language: at most ``1 / frequent`` a language.
+
+    A sentence starts with a capital, ends with a full stop and has some words in between, so that
+    keywords, tags and links are no sentences. All documents count.
+    """
+    lang = "lang" if "lang" in documents.columns else F.lit("").alias("lang")
+    count = documents.where("text is not null").select(lang, "text").mapInPandas(_sentences(p), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    count = cut_lineage(count)
+    total = count.groupBy("lang").agg(F.sum("n").alias("total"))
+    whole = total.agg(F.sum("total")).first()[0] or 0
+    known = F.broadcast(total.where(F.col("total") >= max(1.0, p.known_language * whole)))  # at most 1 / known_language rows
+    return frozenset(r["word"] for r in count.join(known, "lang").where(F.col("n") >= p.frequent * F.col("total")).select("word").distinct().collect())
+
+
+def _read(p: StuffingParams, frequent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(p)
+        reader = Reader(p, frequent.value)
         for pdf in batches:
             yield pd.DataFrame([(k, *reader.units(t)) for k, t in zip(pdf["doc_id"], pdf["text"])], columns=["doc_id", "codes", "lengths", "sizes", "kinds"])
 
@@ -278,78 +343,167 @@ def _batch(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return codes, np.cumsum(lengths) - lengths, np.repeat(np.arange(len(pdf)), count), sizes, kinds
 
 
-def _prose(codes: np.ndarray, start: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Units that are prose beyond doubt: words, a function word in six of them, and a full stop."""
+_WORDS = np.isin(np.arange(len(CLASSES)), [FUNCTION, LONGER, SHORT, OPEN])
+_ODD = np.isin(np.arange(len(CLASSES)), [CODE[x] for x in ("U", "|", "$")])
+
+
+def _prose(codes: np.ndarray, start: np.ndarray, kinds: np.ndarray, p: StuffingParams) -> np.ndarray:
+    """Units made of sentences: full stops, and enough words to each of them."""
     if not len(start):
         return np.zeros(0, bool)
-    total = np.add.reduceat(np.ones(len(codes)), start)
-    fw = np.add.reduceat((codes == CODE["F"]).astype(float), start)
-    stop = np.add.reduceat((codes == CODE["."]).astype(float), start)
-    odd = np.add.reduceat(np.isin(codes, [CODE[x] for x in ("U", "|", "$")]).astype(float), start)
-    return (kinds == 0) & (fw * 6 >= total) & (stop > 0) & (odd == 0) & (total >= 6)
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    n = np.zeros(len(CLASSES) ** 3, dtype=np.int64)
-    for pdf in batches:
-        codes, start, _, _, kinds = _batch(pdf)
-        if len(start):
-            take = np.repeat(_prose(codes, start, kinds), np.diff(np.append(start, len(codes))))
-            n += np.bincount(trigrams(codes)[take], minlength=len(n))
-    cell = np.flatnonzero(n)
-    yield pd.DataFrame({"cell": cell, "n": n[cell]})
-
-
-def surprise(counts: np.ndarray) -> np.ndarray:
-    """Bits of each trigram: interpolated with bigrams and single classes (Witten-Bell weights)."""
+    total = np.diff(np.append(start, len(codes)))
+    words = np.add.reduceat(_WORDS[codes].astype(np.int64), start)
+    stop = np.add.reduceat((codes == CODE["."]).astype(np.int64), start)
+    odd = np.add.reduceat(_ODD[codes].astype(np.int64), start)
+    return (kinds == 0) & (stop > 0) & (odd == 0) & (words >= p.sentence_words * stop) & (words * 2 > total)
+
+
+#: Codes as a language gives them whose function words the table does not hold.
+_UNKNOWN = np.arange(len(CLASSES), dtype=np.uint8)
+_UNKNOWN[FUNCTION], _UNKNOWN[LONGER] = SHORT, OPEN
+
+
+HISTORY = 5  # words before a word that say whether a function word is due
+CELLS, FUNCTION_CELLS = len(CLASSES) ** 3, 2 ** (HISTORY + 1)
+
+
+def function_sequence(codes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its unit, and the cell of (is it open, were the words before it in the unit open)."""
+    at = np.flatnonzero(_WORDS[codes])
+    unit = np.searchsorted(start, at, side="right") - 1
+    is_open = (codes[at] == OPEN).astype(np.int64)
+    place = np.arange(len(at)) - np.searchsorted(unit, unit)
+    cell = is_open.copy()
+    for j in range(1, HISTORY + 1):
+        before = np.concatenate((np.zeros(j, np.int64), is_open[:-j]))[: len(at)]
+        cell += np.where(place >= j, before, 0) << j
+    return unit, cell
+
+
+def _count(p: StuffingParams):
+    """Trigrams and function-word sequences of prose; all of it counts twice, as it is and as if its language were unknown."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(CELLS + FUNCTION_CELLS, dtype=np.int64)
+        for pdf in batches:
+            codes, start, _, _, kinds = _batch(pdf)
+            if len(start):
+                prose = _prose(codes, start, kinds, p)
+                take = np.repeat(prose, np.diff(np.append(start, len(codes))))
+                for c in (codes, _UNKNOWN[codes]):
+                    n[:CELLS] += np.bincount(trigrams(c)[take], minlength=CELLS)
+                    unit, cell = function_sequence(c, start)
+                    n[CELLS:] += np.bincount(cell[prose[unit]], minlength=FUNCTION_CELLS)
+        cell = np.flatnonzero(n)
+        yield pd.DataFrame({"cell": cell, "n": n[cell]})
+
+    return run
+
+
+@dataclass(frozen=True)
+class Model:
+    """Bits of each trigram of classes, and for each function-word cell how far it exceeds the open words due there, and their variance."""
+
+    bits: np.ndarray
+    excess: np.ndarray
+    variance: np.ndarray
+
+
+def fit(counts: np.ndarray) -> Model:
+    """The two models of prose. Trigrams are interpolated with bigrams and single classes (Witten-Bell weights)."""
     k = len(CLASSES)
-    tri = counts.reshape(k, k, k).astype(float)
+    tri = counts[:CELLS].reshape(k, k, k).astype(float)
     bi, uni = tri.sum(0), tri.sum((0, 1))
 
     def mix(n: np.ndarray, below: np.ndarray) -> np.ndarray:
         total, kinds = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True) + 1
         return (n + kinds * below) / (total + kinds)
 
-    p1 = mix(uni, np.full(k, 1 / k))
-    return -np.log2(mix(tri, np.broadcast_to(mix(bi, np.broadcast_to(p1, (k, k))), (k, k, k)))).ravel()
+    p = mix(tri, np.broadcast_to(mix(bi, np.broadcast_to(mix(uni, np.full(k, 1 / k)), (k, k))), (k, k, k)))
+    q = counts[CELLS:].reshape(-1, 2).astype(float)
+    q = mix(q, np.broadcast_to(mix(q.sum(0), np.full(2, 0.5)), q.shape))
+    due = q[:, 1:]  # of an open word after this history
+    return Model(-np.log2(p).ravel(), (np.array([0.0, 1.0]) - due).ravel(), np.broadcast_to(due * (1 - due), q.shape).ravel())
 
 
-def _unit_bits(pdf: pd.DataFrame, bits: np.ndarray):
+def _unit_sums(pdf: pd.DataFrame, model: Model, p: StuffingParams):
+    """For each unit its bits, codes, function-word excess and variance, words, row, characters, kind, and whether it is prose."""
     codes, start, row, sizes, kinds = _batch(pdf)
     if not len(start):
         return None
-    n = np.diff(np.append(start, len(codes)))
-    return np.add.reduceat(bits[trigrams(codes)], start) / n, n, row, sizes, kinds, _prose(codes, start, kinds), np.add.reduceat((codes == CODE["F"]).astype(float), start)
+    unit, cell = function_sequence(codes, start)
+    by_unit = lambda x: np.bincount(unit, x, len(start))
+    bits = np.add.reduceat(model.bits[trigrams(codes)], start)
+    return bits, np.diff(np.append(start, len(codes))), by_unit(model.excess[cell]), by_unit(model.variance[cell]), np.bincount(unit, minlength=len(start)), row, sizes, kinds, _prose(codes, start, kinds, p)
+
+
+def around(x: np.ndarray, row: np.ndarray, reach: int) -> np.ndarray:
+    """Sums over each unit and up to ``reach`` units of its page before and after."""
+    total = np.concatenate(([0.0], np.cumsum(x)))
+    at = np.arange(len(row))
+    lo = np.maximum(at - reach, np.searchsorted(row, row))
+    hi = np.minimum(at + reach + 1, np.searchsorted(row, row, side="right"))
+    return total[hi] - total[lo]
 
 
-def _moments(bits):
+def _moments(model, p: StuffingParams):
+    """Sums from which mean and spread of prose are found, for classes and for function words."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = np.zeros(4)
+        s = np.zeros(6)
         for pdf in batches:
-            got = _unit_bits(pdf, bits.value)
+            got = _unit_sums(pdf, model.value, p)
             if got:
-                mean, n, _, _, _, prose, _ = got
-                m, w = mean[prose], n[prose]
-                s += (len(m), w.sum(), (m * w).sum(), (m * m * w).sum())
-        yield pd.DataFrame([s], columns=["units", "n", "sum", "squares"])
+                bits, n, excess, variance, _, row, _, kinds, prose = got
+                m, w = bits[prose] / n[prose], n[prose]
+                own = np.flatnonzero(kinds == 0)
+                z = np.zeros(len(n))
+                z[own] = around(excess[own], row[own], p.reach) / np.sqrt(np.maximum(around(variance[own], row[own], p.reach), 1e-9))
+                s += (len(m), w.sum(), (m * w).sum(), (m * m * w).sum(), z[prose].sum(), (z[prose] ** 2).sum())
+        yield pd.DataFrame([s], columns=["units", "n", "sum", "squares", "f_sum", "f_squares"])
 
     return run
 
 
-def _judge(bits, mean: float, spread: float, p: StuffingParams):
+@dataclass(frozen=True)
+class Spread:
+    """Mean and spread of prose: bits a class, and deviations of function words."""
+
+    mean: float = 4.0
+    spread: float = 1.0
+    f_mean: float = 0.0
+    f_spread: float = 1.0
+
+
+def spread_of(units: float, n: float, total: float, squares: float, f_sum: float, f_squares: float) -> Spread:
+    if not units:
+        return Spread()
+    mean, f_mean = total / n, f_sum / units
+    # Units of n codes deviate by about spread / sqrt(n).
+    spread = max(0.2, float(np.sqrt(max(squares / n - mean**2, 0.0) * n / units)))
+    return Spread(mean, spread, f_mean, max(0.2, float(np.sqrt(max(f_squares / units - f_mean**2, 0.0)))))
+
+
+def _judge(model, s: Spread, p: StuffingParams):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = _unit_bits(pdf, bits.value)
+            got = _unit_sums(pdf, model.value, p)
             if not got:
                 continue
-            m, n, row, sizes, kinds, _, fw = got
-            z = (m - mean) / spread * np.sqrt(n)
-            odd = (kinds == 0) & ((z > p.z_high) | (z < p.z_low)) & (fw < p.sentence_words * n)
-            written = np.bincount(row, (kinds == 0) & ~odd & (fw > 0), len(pdf)) > 0
+            bits, n, excess, variance, words, row, sizes, kinds, _ = got
+            z = (bits / n - s.mean) / s.spread * np.sqrt(n)
+            own = np.flatnonzero(kinds == 0)
+            due, share = np.zeros(len(n)), np.zeros(len(n))
+            due[own] = around(excess[own], row[own], p.reach) / np.sqrt(np.maximum(around(variance[own], row[own], p.reach), 1e-9))
+            share[own] = around(words[own], row[own], p.reach) / around(n[own], row[own], p.reach)
+            missing = (due - s.f_mean) / s.f_spread
+            rare = (z > p.z_high) | (z < p.z_low)
+            odd = (kinds == 0) & ((missing > p.z_missing) | rare & ((missing > p.z_function) | (share < p.few_words) & ((missing > 0) | (share < p.no_words))))
+            written = np.bincount(row, (kinds == 0) & ~odd, len(pdf)) > 0
             odd |= (kinds == 2) & ~written[row]
             odd &= np.bincount(row, n * odd, len(pdf))[row] >= p.least_codes
             w = np.bincount(row, sizes, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "units": np.bincount(row, minlength=len(pdf)), "share": np.bincount(row, sizes * odd, len(pdf)) / np.maximum(w, 1), "technical": np.bincount(row, sizes * (kinds == 1), len(pdf)) / np.maximum(w, 1), "perplexity": 2.0 ** (np.bincount(row, m * n, len(pdf)) / np.maximum(np.bincount(row, n, len(pdf)), 1))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "units": np.bincount(row, minlength=len(pdf)), "share": np.bincount(row, sizes * odd, len(pdf)) / np.maximum(w, 1), "technical": np.bincount(row, sizes * (kinds == 1), len(pdf)) / np.maximum(w, 1), "perplexity": 2.0 ** (np.bincount(row, bits, len(pdf)) / np.maximum(np.bincount(row, n, len(pdf)), 1))})
 
     return run
 
@@ -360,24 +514,23 @@ JUDGED = "doc_id long, units long, share double, technical double, perplexity do
 def judge_pages(documents: DataFrame, p: StuffingParams = StuffingParams()) -> DataFrame:
     """``(doc_id, units, share, technical, perplexity)`` of every page with words.
 
-    Texts are read once, whole, into class codes of units (a line, or several short ones).
-    The model, mean and spread come from all prose units of the table; its size is fixed by the
-    number of classes. ``share`` is the part of the characters in units whose surprise is
-    abnormally high or low and that are not logs, traces, code or tables. Null and
-    blank texts give no rows. Repeated ids are judged row by row.
+    Texts are read once for the frequent words of their sentences, and once, whole, into class codes of units
+    (a line, or several short ones). Two n-gram models of all prose units of the table judge them; their size is fixed
+    by the number of classes. One gives the surprise of word-class sequences, the other the function words that
+    the words before let expect. ``share`` is the part of the characters in units without due function words whose
+    surprise is abnormally high or low, or that lack function words altogether, and that are not logs, traces, code
+    or tables. Null and blank texts give no rows. Repeated ids are judged row by row.
     """
     spark = documents.sparkSession
-    read = cut_lineage(documents.where("text is not null and text rlike '[^\\\\s]'").select("doc_id", "text").mapInPandas(_read(p), READ))
-    counts = np.zeros(len(CLASSES) ** 3, dtype=np.int64)
-    for r in read.mapInPandas(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    frequent = spark.sparkContext.broadcast(function_words(documents, p))
+    read = cut_lineage(documents.where("text is not null and text rlike '[^\\\\s]'").select("doc_id", "text").mapInPandas(_read(p, frequent), READ))
+    counts = np.zeros(CELLS + FUNCTION_CELLS, dtype=np.int64)
+    for r in read.mapInPandas(_count(p), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts[r["cell"]] = r["n"]
-    bits = spark.sparkContext.broadcast(surprise(counts))
-    m = read.mapInPandas(_moments(bits), "units double, n double, sum double, squares double").agg(*(F.sum(c).alias(c) for c in ("units", "n", "sum", "squares"))).first()
-    n = m["n"] or 0.0
-    mean = m["sum"] / n if n else 4.0
-    # Units of n codes deviate by about spread / sqrt(n).
-    spread = max(0.2, float(np.sqrt(max(m["squares"] / n - mean**2, 0.0) * n / m["units"]))) if n else 1.0
-    return read.mapInPandas(_judge(bits, mean, spread, p), JUDGED)
+    model = spark.sparkContext.broadcast(fit(counts))
+    names = ("units", "n", "sum", "squares", "f_sum", "f_squares")
+    m = read.mapInPandas(_moments(model, p), ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c).alias(c) for c in names)).first()
+    return read.mapInPandas(_judge(model, spread_of(*(m[c] or 0.0 for c in names)), p), JUDGED)
 
 
 def p9_found(documents: DataFrame, p: StuffingParams = StuffingParams()) -> DataFrame:
