@@ -26,10 +26,12 @@ class LeakParams:
     gap_words: int = 6  # altered words allowed between tiles, in item and document
     altered_share: float = 0.2  # most of a passage that may be altered
     shared_share: float = 0.05  # a seed in this share of the items is wording that reports share
+    part_words: int = 8  # least words of a tile that counts as part of a reordered passage
+    coverage: float = 0.5  # share of an item's own words that such tiles must hold
     vocabulary_rows: int = 2_000_000  # item words held by every task; beyond, words travel as hashes
 
 
-_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,200})?/?>")
+_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _HIDDEN = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 _MARK = re.compile(r"[^\w\s]+")
@@ -90,6 +92,7 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]
     """
     out: list[tuple[int, int, int]] = []
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
+    x, y = a.tolist(), b.tolist()
     length = least
     while length * 2 <= min(len(a), len(b)) and np.intersect1d(seed_keys(a, length * 2), seed_keys(b, length * 2)).size:
         length *= 2
@@ -107,10 +110,10 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]
                 if not free_a[i : i + length].all():
                     continue
                 for j in places.get(int(ka[i]), ()):
-                    if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
+                    if i and j and x[i - 1] == y[j - 1] and free_a[i - 1] and free_b[j - 1]:
                         continue  # inside a longer match
                     n = 0
-                    while n < top and i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    while n < top and i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n] and free_a[i + n] and free_b[j + n]:
                         n += 1
                     if n >= length:
                         found.append((-n, i, j))
@@ -290,7 +293,7 @@ def _scan(vocabulary, p: LeakParams):
 
 
 def _tile(p: LeakParams):
-    names = ["doc_id", "instance_id", "passage", "matched", "item_words", "tiled"]
+    names = ["doc_id", "instance_id", "passage", "matched", "item_words", "tiled", "covered", "leaked"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -300,8 +303,12 @@ def _tile(p: LeakParams):
                 shared[np.asarray(common, dtype=int)] = True
                 found = tiles(np.asarray(item), np.asarray(doc), p.tile_words)
                 span, own = max(covered(np.asarray(item), np.asarray(doc), found, shared, p), aligned(np.asarray(item), np.asarray(doc), matches(np.asarray(item), np.asarray(doc), p.tile_words), shared, p))
-                rows.append((doc_id, instance_id, span, own, len(item), sum(int((~shared[i : i + n]).sum()) for i, _, n in found)))
-            yield pd.DataFrame(rows, columns=names)
+                words_of = [(n, int((~shared[i : i + n]).sum())) for i, _, n in found]
+                parts = sum(w for n, w in words_of if n >= p.part_words)
+                share = parts / max(1, int((~shared).sum()))
+                leaked = span >= p.passage_words - p.edge_words or parts >= p.passage_words and share >= p.coverage
+                rows.append((doc_id, instance_id, span, own, len(item), sum(w for _, w in words_of), share, leaked))
+            yield pd.DataFrame(rows, columns=names).astype({"leaked": "bool"})
 
     return run
 
@@ -319,12 +326,13 @@ def read_items(items: DataFrame, p: LeakParams) -> DataFrame:
 
 
 def leaks(documents: DataFrame, items: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
-    """``(doc_id, instance_id, passage, matched, item_words, tiled)`` for every pair that shares ``least_seeds`` seeds.
+    """``(doc_id, instance_id, passage, matched, item_words, tiled, covered, leaked)`` for every pair that shares ``least_seeds`` seeds.
 
     ``passage`` is the longest passage of the item that the document repeats, in words
     of the item that are not wording shared by many items, and ``matched`` how many of those
-    are unaltered; ``tiled`` counts all words in tiles, wherever they stand, so
-    reordered copies show there. Documents and items that are null or blank
+    are unaltered; ``tiled`` counts all words in tiles, wherever they stand, and ``covered`` is the share
+    of the item in tiles of ``part_words`` or more, so reordered copies show there. ``leaked``: a passage of
+    ``passage_words``, or such parts in any order that hold ``coverage`` of the item. Documents and items that are null or blank
     give no rows; repeated items count once.
 
     Documents are read once. Only seeds whose words all occur in items leave a task, so what is
@@ -344,9 +352,9 @@ def leaks(documents: DataFrame, items: DataFrame, p: LeakParams = LeakParams())
     pairs = scanned.select("doc_id", F.explode("keys").alias("key")).join(seeds, "key").groupBy("doc_id", "instance_id").agg(F.count("*").alias("n")).where(F.col("n") >= p.least_seeds).drop("n")
     # Texts and items join once more, by their ids; a pair carries one document and one item.
     wide = pairs.join(scanned.select("doc_id", "codes"), "doc_id").join(read.select("instance_id", F.col("codes").alias("item"), "common"), "instance_id")
-    return wide.select("doc_id", "instance_id", "codes", "item", "common").mapInPandas(_tile(p), "doc_id long, instance_id string, passage int, matched int, item_words int, tiled int")
+    return wide.select("doc_id", "instance_id", "codes", "item", "common").mapInPandas(_tile(p), "doc_id long, instance_id string, passage int, matched int, item_words int, tiled int, covered double, leaked boolean")
 
 
 def p8_found(documents: DataFrame, items: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
-    """Pairs in which the document repeats a passage of at least ``passage_words`` words."""
-    return leaks(documents, items, p).where(F.col("passage") >= p.passage_words - p.edge_words).select("doc_id", "instance_id").distinct()
+    """Pairs in which the document repeats a passage of at least ``passage_words`` words, or most of the item in parts."""
+    return leaks(documents, items, p).where("leaked").select("doc_id", "instance_id").distinct()

@@ -85,6 +85,23 @@ def test_repeated_runs_do_not_cut_a_passage(spark):
     assert {tuple(r) for r in p8_found(df, it).collect()} == {(1, "i_3"), (2, "i_3"), (3, "i_3")}
 
 
+def test_reordered_copies_are_found_by_coverage(spark):
+    ws = words(item(3))
+    parts = [ws[i : i + 11] for i in range(0, len(ws), 11)]
+    apart = NOISE.split()
+    docs = [
+        (1, NOISE + " ".join(" ".join([*x, *apart]) for x in reversed(parts))),  # the whole item in parts of eleven words
+        (2, NOISE + " ".join(" ".join([*x[:7], *apart]) for x in reversed(parts))),  # no more than seven words at once
+        (3, NOISE + " ".join(" ".join([*x, *apart]) for x in reversed(parts[:2]))),  # two parts of many
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(ITEMS, "instance_id string, problem_statement string")
+    got = {r.doc_id: r for r in leaks(df, it).where("instance_id = 'i_3'").collect()}
+    assert got[1].passage < 14 and got[1].covered > 0.8 and got[1].leaked
+    assert not got[2].leaked and not got[3].leaked and got[3].covered < 0.5
+    assert {tuple(r) for r in p8_found(df, it).collect()} == {(1, "i_3")}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(1, 6), max_size=30), st.lists(st.integers(1, 6), max_size=30))
 def test_alignment_is_bounded(a, b):
@@ -142,6 +159,53 @@ def test_stuffed_pages(spark):
     assert p9_found(df.limit(0)).count() == 0
 
 
+OTHERS = [
+    "Usługa czeka na blokadę, a potem zatrzymuje się bez słowa w dzienniku. Widzieliśmy to samo w zeszłym miesiącu i obeszliśmy problem, ustawiając limit na 753. Na wolnych dyskach ten krok może trwać do 61 sekund, a wartość domyślna jest krótsza. Jeśli zależy wam na kolejności wierszy, trzeba ustawić flagę w pliku przed uruchomieniem.",
+    "Služba čeká na zámek a potom se zastaví beze slova v záznamu. Totéž jsme viděli minulý měsíc a obešli jsme to nastavením limitu na 753. Na pomalých discích může tento krok trvat až 61 sekund a výchozí hodnota je kratší. Pokud vám záleží na pořadí řádků, musíte před spuštěním nastavit příznak v souboru.",
+    "Il servizio parte e aspetta il blocco, poi si ferma senza una parola nel registro. Abbiamo visto la stessa cosa il mese scorso e l'abbiamo aggirata impostando il limite a 753. Sui dischi lenti il passo può richiedere fino a 61 secondi, e il valore predefinito è più corto.",
+    "O serviço arranca e espera pelo bloqueio, e depois para sem uma palavra no registo. Vimos o mesmo no mês passado e contornámos o problema definindo o limite para 753. Em discos lentos o passo pode demorar até 61 segundos, e o valor predefinido é mais curto.",
+]
+FOREIGN_SPAM = [
+    ", ".join(["kredyt", "pożyczka", "tanie ubezpieczenie", "kredyt hipoteczny", "pożyczka online", "ubezpieczenie samochodu"] * 5),
+    " ".join(["levné boty online nejlepší cena běžecké boty výprodej tenisky"] * 8),
+]
+
+
+STORY = """Whoever opened the old gate last night must have forgotten to latch it, because goats were standing in the garden this morning.
+My grandmother laughed when she saw them; everybody else was less amused and ran for the nearest broom.
+Chasing animals back into their pen took us the better part of an hour, and half the lettuce was gone by then.
+Heavy rain had loosened several fence posts along the river, so repairs came before breakfast.
+Nobody could remember which neighbour owned the brown one with the broken horn.
+Later that afternoon a boy from the next village walked past, whistling, and asked whether anyone had found his goat.
+Das Wetter war den ganzen Tag über schlecht, weshalb niemand das Haus verlassen wollte.
+Am Abend kamen trotzdem noch Gäste, die lange am Tisch saßen und Geschichten erzählten.
+Quand la pluie cessa enfin, les enfants sortirent jouer dans la cour avec leurs voisins.
+Personne ne savait vraiment pourquoi la vieille horloge avait cessé de sonner pendant la nuit.
+Los pescadores volvieron temprano porque el viento soplaba con demasiada fuerza desde el norte.
+Aquella casa blanca cerca del puerto llevaba muchos años cerrada y nadie conocía al dueño.""".split("\n")
+
+
+def test_languages_the_table_lacks(spark):
+    """Prose is told by how words follow each other, in languages none of whose words is known."""
+    prose, spam, _ = pages()
+    r = random.Random(5)
+    prose += [(800 + i, " ".join(r.sample(STORY, 5))) for i in range(80)]
+    more = [(600 + i, t) for i, t in enumerate(OTHERS)] + [(700 + i, t) for i, t in enumerate(FOREIGN_SPAM)]
+    df = spark.createDataFrame([*prose, *spam, *more], "doc_id long, text string")
+    assert {r[0] for r in p9_found(df).collect()} == {i for i, _ in spam} | {700, 701}
+
+
+def test_the_models_decide(spark):
+    """With either model switched off the found pages are others."""
+    prose, spam, _ = pages()
+    df = spark.createDataFrame([*prose, *spam], "doc_id long, text string")
+    want = {i for i, _ in spam}
+    off = lambda **k: {r[0] for r in p9_found(df, StuffingParams(**k)).collect()}
+    assert off(z_high=1e9, z_low=-1e9, z_missing=1e9) == set()
+    assert off(z_missing=1e9, z_function=1e9) < want
+    assert off(z_high=-1e9, z_function=-1e9) == want | {i for i, _ in prose}
+
+
 def test_long_text_is_read_whole():
     r = Reader(StuffingParams())
     text = "\n".join(PROSE) * 2000
