@@ -41,6 +41,7 @@ class StuffingParams:
 
 
 _END = re.compile(r"[.!?…]+[\"'»”)]*$")
+_INSIDE = re.compile(r"[.!?…][\"'»”)]*\s")
 _CORE = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 _URL = re.compile(r"https?://|www\.|^[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/|$)", re.I)
 _FILE = re.compile(r"\.(?:py|js|go|java|json|md|txt|yml|c|h|rs|html?)$|^[\w.]+/[\w/.]+\.\w{1,5}$", re.I)
@@ -59,6 +60,14 @@ ENCODED = 40  # mean characters between slashes from which a long run is encoded
 
 
 _ALPHA = re.compile(r"[^\W\d_]+")
+#: All ASCII characters but letters to blanks.
+_APART = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
+_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+def letters(low: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    return low.encode().translate(_APART).decode().split() if low.isascii() else _ALPHA.findall(low)
 
 
 class Words:
@@ -132,7 +141,7 @@ class Words:
 
 
 _LOG = re.compile(r"^\W*\d{1,2}:\d{2}(?::\d{2})?\b|\b(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|PASS|FAIL|FAILED|SKIP|OK)\b|^\s*(?:File \"|Traceback|at [\w.$]+\()|^\s*(?:[-+@]{2,}|diff )")
-_BRACKETS = re.compile(r"[(){}=;%]")
+_STARTS = ("import", "from", "break", "package", "raise", "return", "#", "//")
 _STATEMENT = re.compile(r"\s*(?:(?:import|from|break|package|raise)\s+[\w.]+\s*(?:import\b.*|\(.*|;)?$|return\b.*[\w)\]};]$|#\s|//)")
 _CODE = re.compile(r"[{};=]\s*$|\w\(.*\)|\s[=!<>+*/%&|-]?=\s|^\s*(?:import|from|return|assert|def|class|func|while|for|if|try|raise|break|package|const|var|let|public|private)\b.*[:;(){}=]?$|->|=>|^\s*(?:#|//)\s|\w_\w*\s*[=(]")
 
@@ -143,49 +152,57 @@ def technical(line: str, fenced: bool) -> bool:
         return True
     if "://" in line or "](" in line:
         return False
-    if _STATEMENT.match(line):
+    if line.lstrip().startswith(_STARTS) and _STATEMENT.match(line):
         return True
-    return bool(_BRACKETS.search(line)) and bool(_CODE.search(line))
+    return any(c in line for c in "(){}=;%") and bool(_CODE.search(line))
 
 
 _LINK_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])?\s*(?:\[[^\]]*\]\(\S+\)|<?\w+://\S+>?)[.,;]?\s*$")
 _TAG = re.compile(r"</?(?:p|b|i|u|em|strong|div|span|code|blockquote|h\d)(?:\s[^<>]*)?>")
 
 
+class _Known(dict):
+    """Piece to codes; long pieces, and those beyond ``most``, are classed anew each time."""
+
+    most = 400_000
+
+    def __init__(self, words: Words) -> None:
+        self.words = words
+
+    def __missing__(self, piece: str) -> bytes:
+        c = self.words.piece(piece)
+        if len(self) < self.most and len(piece) < 40:
+            self[piece] = c
+        return c
+
+
 class Reader:
     """Texts to class codes, unit by unit; pieces seen before are looked up."""
 
     def __init__(self, p: StuffingParams, frequent: frozenset[str] = frozenset()) -> None:
         self.p = p
         self.words = Words(frequent, p)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.words)
         self.page: dict[str, bytes] = {}  # pieces of this page that hold a repeated word
 
     def codes(self, pieces: list[str]) -> bytes:
         known, page = self.known, self.page
-        out = []
-        for x in pieces:
-            c = page.get(x) if page else None
-            if c is None:
-                c = known.get(x)
-            if c is None:
-                c = self.words.piece(x)
-                if len(known) < 400_000 and len(x) < 40:
-                    known[x] = c
-            out.append(c)
-        return b"".join(out)
+        if page:
+            return b"".join([page[x] if x in page else known[x] for x in pieces])
+        return b"".join(map(known.__getitem__, pieces))
 
     def turn(self, text: str) -> None:
         """Looks up what a page repeats: words of four letters, and of three that are not frequent in sentences."""
         p = self.p
-        count = Counter(_ALPHA.findall(text.lower()))
+        count = Counter(letters(text.lower()))
         least = max(p.least_often, p.often * count.total())
         often = frozenset(w for w, n in count.items() if n >= least and (len(w) > p.short or len(w) == p.short and w not in self.words.frequent))
         self.page = {}
         if often:
             words = Words(self.words.frequent, p, often)
             for x in {*text.split()}:
-                if len(x) < LONG and not often.isdisjoint(_ALPHA.findall(x.lower())):
+                core = x.lower().strip(_EDGES)
+                if core in often or not core.isalpha() and len(x) < LONG and not often.isdisjoint(letters(core)):
                     self.page[x] = words.piece(x)
 
     def references(self, lines: list[str]) -> set[int]:
@@ -257,10 +274,11 @@ class Reader:
                 close()
             # Sentences of a line are parted by edges inside the unit.
             at = 0
-            for i, x in enumerate(pieces):
-                if i + 1 < len(pieces) and x[-1] in ".!?…\"'»”)" and _END.search(x):
-                    held.append(self.codes(pieces[at : i + 1]))
-                    at = i + 1
+            if _INSIDE.search(line):
+                for i, x in enumerate(pieces):
+                    if i + 1 < len(pieces) and x[-1] in ".!?…\"'»”)" and _END.search(x):
+                        held.append(self.codes(pieces[at : i + 1]))
+                        at = i + 1
             held.append(self.codes(pieces[at:]))
             chars, words = chars + size, words + len(pieces)
             if words >= self.p.unit_words:
@@ -285,7 +303,7 @@ def _sentences(p: StuffingParams):
             for lang, text in zip(pdf["lang"], pdf["text"]):
                 held.setdefault((lang or "").strip().lower(), []).extend(x for x in _SENTENCE.findall(text) if x.count(" ") >= p.sentence_words)
             for lang, found in held.items():
-                n.setdefault(lang, Counter()).update(_ALPHA.findall("\n".join(found).lower()))
+                n.setdefault(lang, Counter()).update(letters("\n".join(found).lower()))
         rows = [(lang, w, k) for lang, c in n.items() for w, k in c.items()]
         yield pd.DataFrame(rows, columns=["lang", "word", "n"]).astype({"n": "int64"})
 
