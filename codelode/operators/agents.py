@@ -68,6 +68,7 @@ class Tool:
     func: Callable
     description: str
     parameters: dict[str, str] = field(default_factory=dict)
+    required: tuple[str, ...] = ()
 
 
 class Registry:
@@ -76,12 +77,26 @@ class Registry:
     def __init__(self) -> None:
         self.tools: dict[str, Tool] = {}
 
-    def register(self, name: str, func: Callable, parameters: dict[str, str] | None = None) -> None:
-        self.tools[name] = Tool(name, func, (func.__doc__ or "").strip().split("\n")[0], parameters or {})
+    def register(self, name: str, func: Callable, parameters: dict[str, str] | None = None, description: str = "", required: tuple[str, ...] = ()) -> None:
+        self.tools[name] = Tool(name, func, description or (func.__doc__ or "").strip().split("\n")[0], parameters or {}, required)
 
     def schema(self, name: str) -> dict:
         t = self.tools[name]
-        return {"name": t.name, "description": t.description, "parameters": {"type": "object", "properties": {k: {"type": v} for k, v in t.parameters.items()}}}
+        return {"name": t.name, "description": t.description, "parameters": {"type": "object", "properties": {k: {"type": v} for k, v in t.parameters.items()}, "required": list(t.required)}}
+
+    def schemas(self, names: tuple[str, ...] | None = None) -> list[dict]:
+        """The schemas of some tools, or of all; names without a tool are passed over."""
+        return [self.schema(n) for n in (self.tools if names is None else names) if n in self.tools]
+
+    def rows(self, name: str, arguments: dict, limit: int = 100) -> list[dict] | str:
+        """At most ``limit`` rows of a tool's result; what fails when the plan runs is an error text too."""
+        got = self.execute(name, arguments)
+        if isinstance(got, str):
+            return got
+        try:
+            return [r.asDict(recursive=True) for r in got.limit(limit).collect()]
+        except Exception as e:  # noqa: BLE001
+            return f"Error: {name}: {str(e).splitlines()[0] if str(e) else type(e).__name__}"
 
     def execute(self, name: str, arguments: dict, **fixed):
         if name not in self.tools:
@@ -89,6 +104,9 @@ class Registry:
         unknown = set(arguments) - set(self.tools[name].parameters)
         if unknown:
             return f"Error: {name} has no parameter {sorted(unknown)[0]}"
+        missing = [k for k in self.tools[name].required if k not in arguments]
+        if missing:
+            return f"Error: {name} needs {missing[0]}"
         try:
             return self.tools[name].func(**fixed, **arguments)
         except Exception as e:  # noqa: BLE001

@@ -70,9 +70,9 @@ def python_chunks(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").endswith(".py") & F.col("content").rlike(r"\S")).select("path", "content").mapInPandas(_structure, CHUNKS)
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
+def chunk_files(files: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """CHUNKS of all files: by structure for Python that parses, else by lines. Null and blank texts give none."""
     by_structure = python_chunks(files)
     done = by_structure.select(F.col("file_path").alias("path")).distinct()
     rest = files.join(done, "path", "left_anti")
-    return by_structure.unionByName(line_chunks(rest))
+    return by_structure.unionByName(line_chunks(rest, size, overlap))

@@ -96,6 +96,30 @@ JAVA_WORDS = frozenset("if for while switch catch return new throw super this".s
 JAVA_CLASS_STRICT = re.compile(r"^\s*(?:(?:public|private|protected|abstract|final|static|sealed)\s+)*(?:class|interface|enum|record)\s+(\w+)(?:\s*<[^{(]*?>)?(?:\s*\([^)]*\))?(?:\s+extends\s+(\w+)(?:<[^{]*?>)?)?(?:\s+implements\s+([\w,\s<>]+))?", re.M)
 
 
+#: All that may stand before a method's bracket, and the bracket with what must follow it.
+_BEFORE = re.compile(r"[\w<>\[\],\s]+")
+_HEAD_END = re.compile(r"\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{")
+
+
+def java_method_heads(text: str) -> Iterator[re.Match[str]]:
+    """What ``JAVA_METHOD.finditer`` gives, in time that is in proportion to the text.
+
+    A match lies in one run of the characters that may stand before a bracket, ends with it, and starts at the
+    run's first line start, or nowhere in it: all later starts leave less to match. So each run is tried
+    once, and only if its bracket closes before a brace.
+    """
+    last = 0
+    for run in _BEFORE.finditer(text):
+        at = run.end()
+        if at < last or text[at : at + 1] != "(" or not _HEAD_END.match(text, at):
+            continue
+        begin = max(run.start(), last)
+        start = 0 if begin == 0 else text.find("\n", begin, at) + 1
+        if (start or begin == 0) and (m := JAVA_METHOD.match(text, start)):
+            yield m
+            last = m.end()
+
+
 def block_after(text: str, start: int) -> str:
     """Text up to the brace that closes one opened before ``start``; empty without it."""
     depth = 1
@@ -132,7 +156,7 @@ def java_facts(path: str, text: str, strict: bool = False) -> list[tuple]:
             if b:
                 out.edge(id, f"class::*::{b}", "INHERITS")
     starts = [a for a, _ in classes]
-    for m in JAVA_METHOD.finditer(text):
+    for m in java_method_heads(text):
         if strict and m[1] in JAVA_WORDS:
             continue
         i = bisect_right(starts, m.start())
@@ -164,8 +188,12 @@ def build_graph(files: DataFrame, language: str = "python", strict_java: bool =
     """The graph of all files of a language; one pass over the files gives nodes, edges and calls.
 
     Insertion order is that of paths and of statements, kept in ``seq``. Python calls become edges by name
-    lookup; Java's stay with placeholder targets unless ``resolve_placeholders`` is set.
+    lookup; Java's stay with placeholder targets unless ``resolve_placeholders`` is set. ``auto`` takes
+    Java where there are strictly more Java files, else Python.
     """
+    if language == "auto":
+        n = files.select(F.count_if(F.col("path").endswith(".py")).alias("py"), F.count_if(F.col("path").endswith(".java")).alias("java")).first()
+        language = "java" if n["java"] > n["py"] else "python"
     f = graph_files(files, ".py" if language == "python" else ".java")
     facts = f.select("path", "content").mapInPandas(_facts(strict_java), FACTS)
     # Numbers that grow along a sorted table: by path, then by place in the file, without one task for all.

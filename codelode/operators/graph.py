@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from codelode.session import cut_lineage
+from codelode.session import cut_lineage, small
 
 ABSTRACT = ("module", "symbol", "import")
 
@@ -32,6 +32,20 @@ class CodeGraph:
         ids = self.nodes.select("id")
         return self.edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
 
+    def settled(self) -> "CodeGraph":
+        """Both tables written to the checkpoint folder, for searches that read them many times."""
+        return CodeGraph(cut_lineage(self.nodes), cut_lineage(self.edges))
+
+    def hop(self, near: DataFrame, edge_type: str | None = None, outgoing: bool = True) -> DataFrame:
+        """``near(id, ...)`` -> its columns with ``neighbour_id``, ``edge_type`` and ``seq`` of each edge to a node.
+
+        The edges are cut to those of ``near``, which is broadcast if it is small, before any node is looked up.
+        """
+        here, there = ("source_id", "target_id") if outgoing else ("target_id", "source_id")
+        e = self.edges if edge_type is None else self.edges.where(F.col("edge_type") == edge_type)
+        met = e.select(F.col(here).alias("id"), F.col(there).alias("neighbour_id"), "edge_type", "seq").join(small(near), "id")
+        return met.join(self.nodes.select(F.col("id").alias("neighbour_id")), "neighbour_id", "left_semi")
+
     def stats(self) -> DataFrame:
         """``(kind, type, n)`` of nodes and edges by type, with totals (type ``*``)."""
         count = lambda t, c, kind: t.rollup(c).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.coalesce(c, F.lit("*")).alias("type"), "n")
@@ -43,6 +57,24 @@ class CodeGraph:
     def by_name(self, name: str) -> DataFrame:
         return self.nodes.where(F.lower("name") == name.lower())
 
+    @staticmethod
+    def name_entries(log: DataFrame, name: str) -> DataFrame:
+        """``(id, name, seq)`` of every insert of a node with the name, repeated ids as often as they were inserted."""
+        return log.where("id is not null").where(F.lower("name") == name.lower()).select("id", "name", "seq")
+
+    def resolved_bases(self) -> DataFrame:
+        """``(id, base_id, seq)``: INHERITS edges with placeholder targets (``class::*::Name``) led to the classes of that name.
+
+        Of a dotted name the last part counts. A target that is a node itself stays.
+        """
+        e = self.edges.where("edge_type = 'INHERITS'").select(F.col("source_id").alias("id"), "target_id", "seq").join(self.nodes.select("id"), "id", "left_semi")
+        open_ = F.col("target_id").startswith("class::*::")
+        name = F.regexp_extract("target_id", r"([^.:]+)$", 1)
+        classes = self.by_type("class").select(F.col("id").alias("base_id"), F.col("name").alias("base"))
+        led = e.where(open_).withColumn("base", name).join(classes, "base").where("base_id <> id").select("id", "base_id", "seq")
+        solid = e.where(~open_).join(self.nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi").select("id", F.col("target_id").alias("base_id"), "seq")
+        return led.unionByName(solid)
+
     def by_id(self, node_id: str) -> DataFrame:
         return self.nodes.where(F.col("id") == node_id)
 
@@ -92,14 +124,15 @@ class CodeGraph:
         they were found, outgoing edges before incoming ones, then by ``seq``. The frontier is
         cut off the lineage at each level.
         """
-        solid = self.solid()
-        both = solid.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "edge_type", F.lit(0).alias("way"), "seq").unionByName(solid.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), "edge_type", F.lit(1).alias("way"), "seq"))
         seen = self.by_id(start).select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_type"), F.array().cast("array<bigint>").alias("found"))
         frontier = seen
         for depth in range(1, max_depth + 1):
             # The order within a level is that of the path of (way, seq) that led to a node.
-            step = both.join(frontier.select(F.col("id").alias("a"), F.col("found").alias("before")), "a")
-            step = step.select(F.col("b").alias("id"), "edge_type", F.concat("before", F.array(F.col("way").cast("bigint"), "seq")).alias("found"))
+            near = frontier.select("id", F.col("found").alias("before"))
+            step = None
+            for way, outgoing in enumerate((True, False)):
+                part = self.hop(near, None, outgoing).select(F.col("neighbour_id").alias("id"), "edge_type", F.concat("before", F.array(F.lit(way).cast("bigint"), "seq")).alias("found"))
+                step = part if step is None else step.unionByName(part)
             new = step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min_by("edge_type", "found").alias("edge_type"), F.min("found").alias("found"))
             frontier = cut_lineage(new.select("id", F.lit(depth).alias("depth"), "edge_type", "found"))
             seen = seen.unionByName(frontier)
@@ -107,17 +140,24 @@ class CodeGraph:
 
     def paths_around(self, start: str, max_depth: int = 2) -> DataFrame:
         """``(id, depth, edge_type)`` over all walks of at most ``max_depth`` different edges; the type is the first hop's."""
-        solid = self.solid().groupBy("source_id", "target_id", "edge_type").agg(F.min("seq").alias("seq"))
-        both = solid.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "edge_type", "seq").union(solid.where("source_id <> target_id").select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), "edge_type", "seq"))
         walk = self.by_id(start).select(F.col("id").alias("a"), F.lit(None).cast("string").alias("first"), F.array().cast("array<bigint>").alias("used"))
         out = None
         for depth in range(1, max_depth + 1):
-            walk = both.join(walk, "a").where(~F.array_contains("used", F.col("seq"))).select(F.col("b").alias("a"), F.coalesce("first", "edge_type").alias("first"), F.concat("used", F.array("seq")).alias("used"))
+            # Parallel edges of a type are one; only those of the places reached so far are looked at.
+            here = cut_lineage(walk.select(F.col("a").alias("id")).distinct())
+            one = lambda hop: hop.groupBy("id", "neighbour_id", "edge_type").agg(F.min("seq").alias("seq"))
+            both = one(self.hop(here)).unionByName(one(self.hop(here, None, False).where("id <> neighbour_id")))
+            # An edge met from both ends has one number whichever way it is walked.
+            walk = both.withColumnRenamed("id", "a").join(walk, "a").where(~F.array_contains("used", F.col("seq"))).select(F.col("neighbour_id").alias("a"), F.coalesce("first", "edge_type").alias("first"), F.concat("used", F.array("seq")).alias("used"))
             walk = cut_lineage(walk)
             part = walk.where(F.col("a") != start).select(F.col("a").alias("id"), F.lit(depth).alias("depth"), F.col("first").alias("edge_type"))
             out = part if out is None else out.union(part)
         return out.distinct()
 
+    def of_types(self, node_types: list[str] | None = None) -> "CodeGraph":
+        """The nodes of some kinds and the edges among them; all without any."""
+        return self.induced(self.nodes.where(F.col("node_type").isin(node_types)).select("id")) if node_types else self
+
     def focus(self, file: str) -> "CodeGraph":
         """Nodes of files whose path contains ``file``, their direct neighbours, and the edges among them."""
         seeds = self.nodes.where(F.contains("file_path", F.lit(file))).select("id")
@@ -130,10 +170,11 @@ class CodeGraph:
         e = self.edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
         return CodeGraph(self.nodes.join(ids, "id", "left_semi"), e)
 
-    def sample(self, max_nodes: int = 200) -> DataFrame:
-        """The nodes to draw: by kind, files first, then in order of insertion."""
+    def sample(self, max_nodes: int = 200, node_types: list[str] | None = None) -> DataFrame:
+        """The nodes to draw: by kind, files first, then in order of insertion; of some kinds only, if given."""
         rank = F.when(F.col("node_type") == "file", 0).when(F.col("node_type") == "class", 1).when(F.col("node_type") == "method", 2).when(F.col("node_type") == "function", 3).otherwise(4)
-        return self.nodes.orderBy(rank, "position", "id").limit(max_nodes)
+        chosen = self.nodes.where(F.col("node_type").isin(node_types)) if node_types else self.nodes
+        return chosen.orderBy(rank, "position", "id").limit(max_nodes)
 
     def simple_edges(self) -> DataFrame:
         """Parallel edges as one; the last type stands."""
@@ -166,17 +207,19 @@ def containing_class(nodes: DataFrame) -> DataFrame:
     return t.where("node_type <> 'class'").select("id", "class_id")
 
 
-def resolve_calls(calls: DataFrame, functions: DataFrame, imported: DataFrame, per_caller: int = 10, per_call: int = 3) -> DataFrame:
+def resolve_calls(calls: DataFrame, functions: DataFrame, imported: DataFrame | None, per_caller: int = 10, per_call: int = 3) -> DataFrame:
     """``(caller_id, callee_id, ord, k)``: calls by name to functions.
 
     ``calls(caller_id, file_path, callee, ord)``, ``functions(id, name, file_path, position)`` and
     ``imported(file_path, name)``. A name is looked up in the caller's own file; failing
-    that, and if the file imports it, among all functions, of which the first ``per_call`` count. A
+    that, and if the file imports it (or ``imported`` is None), among all functions, of which the first ``per_call`` count. A
     caller keeps its first ``per_caller`` edges.
     """
     f = functions.select(F.col("id").alias("callee_id"), F.col("name").alias("callee"), F.col("file_path").alias("f_path"), "position")
     own = calls.join(f.withColumnRenamed("f_path", "file_path"), ["file_path", "callee"]).where("callee_id <> caller_id")
-    open_ = calls.join(own.select("caller_id", "ord").distinct(), ["caller_id", "ord"], "left_anti").join(imported.select("file_path", F.col("name").alias("callee")).distinct(), ["file_path", "callee"], "left_semi")
+    open_ = calls.join(own.select("caller_id", "ord").distinct(), ["caller_id", "ord"], "left_anti")
+    if imported is not None:
+        open_ = open_.join(imported.select("file_path", F.col("name").alias("callee")).distinct(), ["file_path", "callee"], "left_semi")
     # The first functions of a name, one more than asked since a caller skips itself: a bounded list per name.
     few = Window.partitionBy("callee").orderBy("position", "callee_id")
     first = f.select("callee", "callee_id", "position").withColumn("rn", F.row_number().over(few)).where(F.col("rn") <= per_call + 1).drop("rn")

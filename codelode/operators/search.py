@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelode.functions.text import lines, strip
 from codelode.sources.files import searchable
@@ -16,6 +17,17 @@ def glob_to_regex(pattern: str) -> str:
     return "(?:^|/)" + "/".join(part(p) for p in pattern.split("/")) + "$"
 
 
+def java_pattern(spark: SparkSession, pattern: str) -> str | None:
+    """A pattern as the JVM writes it (named groups differ); None if either side does not accept it."""
+    try:
+        re.compile(pattern)
+        changed = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", re.sub(r"\(\?P<", "(?<", pattern))
+        spark._jvm.java.util.regex.Pattern.compile(changed)
+    except (re.error, Py4JJavaError):
+        return None
+    return changed
+
+
 def code_search(files: DataFrame, query: str, is_regex: bool = False, case_sensitive: bool = False, max_results: int | None = 50, context_lines: int = 2, file_pattern: str | None = None) -> DataFrame:
     """``(path, line_number, line, before, after)`` of matching lines, in order of path and line.
 
@@ -25,9 +37,8 @@ def code_search(files: DataFrame, query: str, is_regex: bool = False, case_sensi
     """
     out = "path string, line_number long, line string, before array<string>, after array<string>"
     if is_regex:
-        try:
-            re.compile(query)
-        except re.error:
+        query = java_pattern(files.sparkSession, query)
+        if query is None:
             return files.sparkSession.createDataFrame([], out)
     if file_pattern:
         from codelode.sources.files import in_skipped, is_test

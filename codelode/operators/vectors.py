@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.window import Window
 
 from codelode.functions.text import cosine
-from codelode.operators.chunking import chunk_files
+from codelode.operators.chunking import CHUNK_CHARS, OVERLAP_CHARS, chunk_files
 from codelode.session import cut_lineage
 
 DIM = 64
@@ -42,13 +42,13 @@ def embed(text: Column) -> Column:
     return run(text)
 
 
-def build_index(files: DataFrame) -> DataFrame:
+def build_index(files: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """Chunks with ids and embeddings, as the index stores them.
 
     The id holds path and lines and the chunk's number within its file, so an index can be rebuilt file by file.
     """
     w = Window.partitionBy("file_path").orderBy("start_line", "end_line", "chunk_type", "function_name")
-    c = chunk_files(files).withColumn("n", F.row_number().over(w) - 1)
+    c = chunk_files(files, size, overlap).withColumn("n", F.row_number().over(w) - 1)
     key = F.concat_ws("::", "file_path", F.concat_ws("-", "start_line", "end_line"), "n")
     return c.select(key.alias("chunk_id"), *[x.split()[0] for x in "file_path string, start_line int, end_line int, function_name string, class_name string, chunk_type string, text string".split(", ")], embed(F.col("text")).alias("embedding"))
 

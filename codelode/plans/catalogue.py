@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import corpus, graphs, hierarchy, rankings
+from codelode.plans import corpus, graphs, hierarchy, rankings, structure
 
-_PARTS = (corpus, graphs, hierarchy, rankings)
+_PARTS = (corpus, graphs, hierarchy, rankings, structure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_session(app: str = "codelode", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -17,6 +20,7 @@ def get_session(app: str = "codelode", master: str | None = None, shuffle_partit
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -32,10 +36,21 @@ def get_session(app: str = "codelode", master: str | None = None, shuffle_partit
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a local folder is made.
+    The folder is the one in ``spark.checkpoint.dir``; where that is unset, a local folder is made if
+    driver and executors are one process, else this is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codelode-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="codelode-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=eager)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table for a join, written already or cheap to make: broadcast if it has few rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from datetime import datetime
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -16,13 +22,65 @@ GRAPH_SKIP_DIRS = {".py": [".git", "__pycache__", "node_modules", ".tox", "build
 MAX_BYTES = 1_000_000
 
 
+def underscored(spark: SparkSession, root: str) -> list[tuple[str, datetime, int]]:
+    """``(path, modified, size)`` of files below ``root`` with a part that starts with an underscore, none with a dot."""
+
+    def hidden(parts: list[str]) -> bool:
+        return any(x.startswith("_") and "=" not in x for x in parts) and not any(x.startswith(".") for x in parts)
+
+    out = []
+    if re.match(r"^[a-z][a-z0-9+.-]+:", root) and not root.startswith("file:"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        base, found = len(fs.makeQualified(path).toString().rstrip("/")) + 1, fs.listFiles(path, True)
+        while found.hasNext():
+            f = found.next()
+            name = f.getPath().toString()
+            if hidden(name[base:].split("/")):
+                out.append((name, datetime.fromtimestamp(f.getModificationTime() / 1000), f.getLen()))
+        return out
+    top = os.path.abspath(re.sub("^file:/*", "/", root))
+    for folder, _, names in os.walk(top):
+        inner = os.path.relpath(folder, top)
+        parts = [] if inner == "." else inner.split(os.sep)
+        for name in names:
+            if hidden([*parts, name]):
+                at = os.stat(full := os.path.join(folder, name))
+                out.append((full, datetime.fromtimestamp(at.st_mtime), at.st_size))
+    return out
+
+
+def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for pdf in batches:
+        content = []
+        for path in pdf["path"]:
+            system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            with system.open_input_stream(name) as f:
+                content.append(f.read())
+        yield pdf.assign(content=content)
+
+
 def read_tree(spark: SparkSession, root: str, suffixes: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
     """``(path, suffix, size, modified_at, content)`` of the files below ``root``; paths relative, text in UTF-8.
 
     The length filter reaches the scan, and content is only read where it is used.
-    Bytes that are not UTF-8 are left out. Empty files have no row: Spark's scan passes over them.
+    Bytes that are not UTF-8 are left out. Spark's scan passes over empty files, whose rows come from the list of
+    files that the scan has made, with a null ``modified_at``; and over names that start with an underscore, which
+    are listed and read beside it. Names that start with a dot have no row.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = spark._jsparkSession.createDataset(spark._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(scan._jdf.inputFiles()), spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    name = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
+    key = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
+    empty = DataFrame(listed.toDF(), spark).select(key(name).alias("path")).join(scan.select(key(F.col("path")).alias("path")), "path", "left_anti")
+    raw = scan.select("path", "modificationTime", "length", "content").unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")))
+    if found := underscored(spark, root):
+        listed = spark.createDataFrame(found, "path string, modificationTime timestamp, length long")
+        if max_bytes is not None:
+            listed = listed.where(F.col("length") <= max_bytes)
+        raw = raw.unionByName(listed.mapInPandas(_read_bytes, "path string, modificationTime timestamp, length long, content binary"))
     if max_bytes is not None:
         raw = raw.where(F.col("length") <= max_bytes)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
@@ -81,8 +139,19 @@ def repository_language(files: DataFrame) -> DataFrame:
     return files.groupBy("repo").agg(F.count_if(s == ".py").alias("py"), F.count_if(s == ".java").alias("java")).select("repo", F.when(F.col("java") > F.col("py"), "java").otherwise("python").alias("language"), "py", "java")
 
 
+def tree_text(entries: DataFrame) -> DataFrame:
+    """``(place, text)`` of directory entries, in order of ``place``: within a directory, directories first, then by name.
+
+    A line is indented by its depth; a directory ends in a slash. ``place`` sorts as the tree is read.
+    """
+    rank = lambda is_file, name: F.concat(F.when(is_file, "1").otherwise("0"), F.lower(name), F.lit("\u0001"), name)
+    above = F.transform(F.filter(F.split("dir", "/"), lambda x: x != ""), lambda x: rank(F.lit(False), x))
+    place = F.concat(above, F.array(rank(F.col("is_file"), F.col("name"))))
+    return entries.select(place.alias("place"), F.concat(F.repeat(F.lit("  "), F.col("depth")), "name", F.when(F.col("is_file"), "").otherwise("/")).alias("text"))
+
+
 def directory_entries(files: DataFrame, max_depth: int = 2, hidden: bool = False) -> DataFrame:
-    """``(dir, name, is_file, depth)`` of every entry at most ``max_depth`` below the top, top entries having depth 0."""
+    """``(dir, name, is_file, depth)`` of every entry at most ``max_depth`` below the top, top entries having depth 0; ``tree_text`` puts them in order."""
     parts = F.split("path", "/")
     t = files.select("path", parts.alias("p"), F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max_depth + 1)))).alias("n"))
     e = t.select(F.array_join(F.slice("p", F.lit(1), F.col("n") - 1), "/").alias("dir"), F.get("p", F.col("n") - 1).alias("name"), (F.col("n") == F.size("p")).alias("is_file"), (F.col("n") - 1).alias("depth")).distinct()
@@ -129,17 +198,36 @@ def commits(log: DataFrame) -> DataFrame:
     return log.select(F.get(head, F.lit(0)).alias("commit_hash"), F.get(head, F.lit(1)).alias("author"), F.try_to_timestamp(F.get(head, F.lit(2))).alias("date"), F.get(head, F.lit(3)).alias("message"), F.slice(ls, F.lit(2), F.greatest(F.size(ls) - 1, F.lit(0))).alias("files_changed"))
 
 
+def commit_stream(log: DataFrame) -> DataFrame:
+    """Raw ``git log`` output, all records of a repository in ``raw``, cut into rows for ``commits``: ``(..., pos, raw)``.
+
+    A record starts at a line with a hash of 7 to 40 digits before the first ``|``.
+    """
+    starts = F.split("raw", r"\n(?=[0-9a-f]{7,40}\|)")
+    keep = [c for c in log.columns if c != "raw"]
+    return log.select(*keep, F.posexplode(starts).alias("pos", "raw")).where(F.col("raw").rlike(r"^\s*[0-9a-f]{7,40}\|"))
+
+
+def with_metadata(trees: DataFrame, info: DataFrame) -> DataFrame:
+    """Checkouts with what their info files say: ``info(project, bug_id, key, value)`` -> a map; trees without any keep a null."""
+    said = info.groupBy("project", "bug_id").agg(F.map_from_entries(F.collect_set(F.struct("key", "value"))).alias("metadata"))
+    return trees.join(said, ["project", "bug_id"], "left")
+
+
 def log_of_file(records: DataFrame, path: str | None = None, max_entries: int = 10) -> DataFrame:
     """The newest commits, of one file if asked."""
     r = records.where(F.array_contains("files_changed", path)) if path else records
     return r.orderBy(F.desc("date"), "commit_hash").limit(max_entries)
 
 
-def blame(porcelain: DataFrame) -> DataFrame:
+def blame(porcelain: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Blame lines with hash and author carried down: ``(path, line_no, raw)`` -> ``(path, line_no, commit_hash, author, code)``."""
     w = Window.partitionBy("path").orderBy("line_no")
     hash_ = F.regexp_extract("raw", "^([0-9a-f]{40}) ", 1)
     author = F.regexp_extract("raw", "^author (.*)$", 1)
     carry = lambda c: F.last(F.when(c != "", c), ignorenulls=True).over(w)
     t = porcelain.withColumns({"commit_hash": carry(hash_), "author": carry(author)})
-    return t.where(F.col("raw").startswith("\t")).select("path", "line_no", F.substring("commit_hash", 1, 8).alias("commit_hash"), "author", F.substring("raw", F.lit(2), F.length("raw")).alias("code"))
+    t = t.where(F.col("raw").startswith("\t")).withColumn("line", F.row_number().over(w))
+    if start is not None or end is not None:
+        t = t.where(F.col("line").between(start or 1, end or (1 << 30)))
+    return t.select("path", "line_no", F.substring("commit_hash", 1, 8).alias("commit_hash"), "author", F.substring("raw", F.lit(2), F.length("raw")).alias("code"))

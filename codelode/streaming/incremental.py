@@ -16,9 +16,12 @@ def follow(spark: SparkSession, source: str, index_dir: str, checkpoint: str, on
     failure replaces itself and nothing is added twice. current_index reads the newest version of each file.
     """
     stream = spark.readStream.schema("path string, content string").parquet(source)
+    # Of a path delivered several times in a batch the last delivery counts: the newest file's last row.
+    stream = stream.select("path", "content", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("delivery"))
 
     def write(batch: DataFrame, number: int) -> None:
-        build_index(indexable(batch.dropDuplicates(["path"]))).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{index_dir}/batch={number}")
+        last = batch.groupBy("path").agg(F.max_by("content", "delivery").alias("content"))
+        build_index(indexable(last)).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{index_dir}/batch={number}")
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (q.trigger(availableNow=True) if once else q).start()

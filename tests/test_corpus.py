@@ -12,6 +12,17 @@ UTILS = '"""Helpers."""\nimport os\nfrom a.b import c as d\n\nLIMIT = 3\n\n\ndef
 TREE = {"src/__init__.py": "", "src/utils.py": UTILS, "src/main.py": "from src.utils import helper\n\ndef run():\n    helper(1, 2)\n    print('x')\n", "src/broken.py": "def (\n", "tests/test_x.py": "helper\n", "src/latest/y.py": "helper\n", "README.md": "helper\n", "src/App.java": "import a.b.C;\npublic class App extends Base implements I, J {\n    public int run(int a) {\n        if (a > 0) {\n            helper(a);\n        }\n        return other(a);\n    }\n}\nclass Two {\n    void go() {\n        run(1);\n    }\n}\n"}
 
 
+@given(st.lists(st.sampled_from(["a ", "b", "\n", " ", "(", ")", "{", "}", "throws E", "public ", "x,", ";", "<T>", "\n\n", "if"]), max_size=16).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_java_methods_equal_the_pattern(text):
+    assert [m.span() for m in X.java_method_heads(text)] == [m.span() for m in X.JAVA_METHOD.finditer(text)]
+
+
+def test_java_methods_in_long_tables_take_no_time():
+    text = "class A {\n  int[] T = {\n" + "    1, 2, 3, 4,\n" * 20_000 + "  };\n  int f(int a) {\n  }\n}\n"
+    assert [m[1] for m in X.java_method_heads(text)] == ["f"]
+
+
 @pytest.fixture(scope="module")
 def tree(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
@@ -24,7 +35,21 @@ def tree(spark, tmp_path_factory):
 
 def test_read_tree(tree):
     got = {r.path: r.content for r in tree.collect()}
-    assert got == {k: v for k, v in TREE.items() if v} | {"src/bytes.py": "a = 1\n# helper\n"}
+    assert got == TREE | {"src/bytes.py": "a = 1\n# helper\n"}
+
+
+def test_empty_files_keep_the_filters(spark, tmp_path):
+    (tmp_path / "a b+c").mkdir()
+    (tmp_path / "a b+c/é.py").write_bytes(b"")
+    (tmp_path / "a b+c/x.txt").write_bytes(b"")
+    (tmp_path / "y.py").write_bytes(b"1234")
+    (tmp_path / "_private").mkdir()
+    (tmp_path / "_private/z.py").write_bytes(b"x = 1\xff")
+    (tmp_path / "_w.py").write_bytes(b"long = 1")
+    (tmp_path / ".hidden.py").write_bytes(b"1")
+    got = {r.path: r.size for r in S.read_tree(spark, str(tmp_path), [".py"]).collect()}
+    assert got == {"a b+c/é.py": 0, "y.py": 4, "_private/z.py": 6, "_w.py": 8}
+    assert {r.path: r.content for r in S.read_tree(spark, str(tmp_path), [".py"], max_bytes=6).collect()} == {"a b+c/é.py": "", "y.py": "1234", "_private/z.py": "x = 1"}
 
 
 def test_search(tree):
@@ -33,6 +58,8 @@ def test_search(tree):
     assert rows[1].line == "helper(1, 2)" and rows[1].before == ["def run():"] and rows[1].after == ["print('x')"]
     assert code_search(tree, "nonexistent_xyz_123").count() == 0
     assert code_search(tree, "(", is_regex=True).count() == 0
+    assert code_search(tree, "(?P<w>helper)", is_regex=True).count() == code_search(tree, "helper").count() > 0
+    assert code_search(tree, r"(?P<w>e)l(?P=w)", is_regex=True).count() == 0 and code_search(tree, "a(?(1)b)", is_regex=True).count() == 0
     assert code_search(tree, r"^def \w+", is_regex=True, max_results=2).count() == 2
     assert {r.path for r in code_search(tree, "run", file_pattern="*.java").collect()} == {"src/App.java"}
     assert glob_to_regex("a/*.py") == r"(?:^|/)a/[^/]*\.py$"
@@ -42,7 +69,7 @@ def test_files(tree):
     assert [r[0] for r in S.find_files(tree, "UTIL").collect()] == ["src/utils.py"]
     info = {r.path: r for r in S.file_info(tree).collect()}
     assert info["src/main.py"].num_lines == 6 and info["README.md"].language == "markdown"
-    assert {r.path for r in S.indexable(tree).collect()} == {"src/utils.py", "src/main.py", "src/broken.py", "src/bytes.py", "src/App.java"}
+    assert {r.path for r in S.indexable(tree).collect()} == {"src/__init__.py", "src/utils.py", "src/main.py", "src/broken.py", "src/bytes.py", "src/App.java"}
     assert [r.rendered for r in S.file_lines(tree.where("path = 'src/main.py'"), 3, 4).orderBy("line_number").collect()] == ["   3 | def run():", "   4 |     helper(1, 2)"]
     assert ("src", "utils.py", True, 1) in {tuple(r) for r in S.directory_entries(tree).collect()}
 
