@@ -173,15 +173,19 @@ def features(path: str, repo: str, suffix: str, text: str, p: MiningParams) -> t
 
     read = scan(text, LANGUAGES[suffix])
     # Tokens with their characters; blanks before a token in a piece do not count.
-    texts = [(k, read.pieces[at].strip()) for k, at in zip(read.kinds, read.at) if at >= 0]
-    literal = sum(len(x) for k, x in texts if k in _LITERAL)
-    words = sum(len(x) for k, x in texts if k not in _LITERAL and k not in _LAYOUT and (k == "id" or k.isalpha()))
+    pieces = read.pieces
+    texts = [pieces[at].strip() for at in read.at if at >= 0]
+    kinds = [k for k, at in zip(read.kinds, read.at) if at >= 0]
+    literal = sum([len(x) for k, x in zip(kinds, texts) if k in _LITERAL])
     blank = sum(map(text.count, " \t\r\n")) / max(1, len(text))
     # A bare object or list is a JSON text under a wrong suffix, not data put into code.
     bare = next((k for k in read.kinds if k not in ("nl", "indent")), "") in ("{", "[")
     minified = not bare and blank < p.blank_share and max(map(len, text.split("\n"))) > p.long_line
-    data = not bare and literal > 300 and words * 5 < literal and frame_words(read) <= p.data_words
-    key = xxhash.xxh64_intdigest("\0".join([x for k, x in texts if x]).encode("utf-8", "replace")) - (1 << 63)
+    data = False
+    if not bare and literal > 300:
+        words = sum([len(x) for k, x in zip(kinds, texts) if k not in _LITERAL and k not in _LAYOUT and (k == "id" or k.isalpha())])
+        data = words * 5 < literal and frame_words(read) <= p.data_words
+    key = xxhash.xxh64_intdigest("\0".join(filter(None, texts)).encode("utf-8", "replace")) - (1 << 63)
     name = path.rsplit("/", 1)[-1]
     m = _NAME.match(name)
     stem, tail = (m[1], m[2]) if m else (name, "")

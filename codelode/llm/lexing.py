@@ -334,7 +334,44 @@ def _indent(out: list[str], at: list[int], stack: list[tuple[int, int]], width:
 _TEXT = re.compile(r"(?:[^\\`$]|\\[\s\S]|\$(?!\{))*+")
 
 
+def _layout_js(pieces: list[str], kinds: list[str], comments: bool) -> Lexed:
+    """Layout where no piece hangs on the ones before it: no template, and no slash that may open a pattern."""
+    out: list[str] = []
+    at: list[int] = []
+    last = ""
+    broke = False
+    depth: list[str] = []
+    for i, k in enumerate(kinds):
+        if k in _DROPPED:
+            if k == LINE or k == LINES:
+                broke = True
+            if comments and (k == COMMENT or k == LINES):
+                out.append("comment")
+                at.append(i)
+            continue
+        if broke:
+            broke = False
+            if last in _JS_END and k not in _JS_GOES_ON and (not depth or depth[-1] == "{"):
+                out.append("nl")
+                at.append(~i)
+        if k in "([{":
+            depth.append(k)
+        elif k in ")]}" and depth:
+            depth.pop()
+        if (last == "." or last == "?.") and (k[0].isalpha() or k in _MAYBE) and k not in ("num", "str", "err"):
+            k = "id"
+        out.append(k)
+        at.append(i)
+        last = k
+    return Lexed(pieces, out, at)
+
+
 def _scan_js(text: str, comments: bool) -> Lexed:
+    if "`" not in text and not text.startswith("#!", 1 if text[:1] == "\ufeff" else 0):
+        pieces = _PIECES["js"].findall(text)
+        plain = [*map(_KINDS["js"].__getitem__, pieces)]
+        if "/" not in plain and "/=" not in plain:
+            return _layout_js(pieces, plain, comments)
     pieces: list[str] = []
     out: list[str] = []
     at: list[int] = []

@@ -1,7 +1,7 @@
 """Where a bracket stands: what its level must hold, told from the tokens before it.
 
-``placed`` gives each token its code on a level: an opening bracket becomes the name of its
-place (``switch{``), a closing one the group it ends (``()`` empty, ``(.)`` with contents), others stay.
+``placed`` names the tokens that count for something else on their level: an opening bracket becomes the name of
+its place (``switch{``), a closing one the group it ends (``()`` empty, ``(.)`` with contents); others stay.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ LISTS = {
 ENDS = {"py": ("nl", "<>"), "java": (";",), "js": (";", "nl"), "go": (";",), "json": ()}
 GOES_ON = {"py": ("<>", "elif", "else", "except", "finally"), "java": ("else", "while", "catch", "finally"), "js": ("else", "while", "catch", "finally"), "go": (), "json": ()}
 
-_SIGNAL = {
+SIGNAL = {
     "py": frozenset(),
     "json": frozenset(),
     "java": frozenset(["class", "interface", "record", "enum", "new", ";"]),
     "js": frozenset(["class", "for", "while", "do", "break", "continue", "async", "await"]),
     "go": frozenset(["if", "for", "switch", "select", "func", ";"]),
 }
-_SIGNAL = {lang: words | set(OPEN) | set(CLOSE) for lang, words in _SIGNAL.items()}
+SIGNAL = {lang: words | set(OPEN) | set(CLOSE) for lang, words in SIGNAL.items()}
 _VALUE = frozenset(["id", ")", "]"])
 
 
@@ -52,13 +52,14 @@ class _Level:
         self.loop, self.switch = loop, switch
 
 
-def placed(kinds: list[str], lang: str) -> list[str]:
-    """Codes of the tokens on their levels."""
-    out = kinds[:]
-    signal = _SIGNAL[lang]
+def placed(kinds: list[str], lang: str, signals: list[int] | None = None) -> dict[int, str]:
+    """Tokens that go by another name on their level: place -> name. ``signals``: places of the kinds of SIGNAL, if known."""
+    out: dict[int, str] = {}
     n = len(kinds)
+    if signals is None:
+        signals = [i for i, k in enumerate(kinds) if k in SIGNAL[lang]]
     if lang in ("py", "json"):
-        for i in [i for i, k in enumerate(kinds) if k in signal]:
+        for i in signals:
             k = kinds[i]
             if k in CLOSE:
                 out[i] = _group(kinds, i, k)
@@ -69,7 +70,7 @@ def placed(kinds: list[str], lang: str) -> list[str]:
     stack = [_Level("file")]
     ended: dict[int, _Level] = {}
     asynchronous = False
-    for i in [i for i, k in enumerate(kinds) if k in signal]:
+    for i in signals:
         k = kinds[i]
         top = stack[-1]
         before = kinds[i - 1] if i else "^"

@@ -52,6 +52,11 @@ def _brackets(lang: str) -> np.ndarray:
     return np.array([_KIND.get(k, 0) for k in alphabet(lang)], dtype=np.int8)
 
 
+@cache
+def _signals(lang: str) -> np.ndarray:
+    return np.array([k in places.SIGNAL[lang] for k in alphabet(lang)])
+
+
 #: Marks of codes on a level: ends a statement, goes on with one, a decorator, a round group, heads a list, a line break that a head without braces may precede.
 END, ON, DECORATOR, ROUND, LIST, BREAK = 1, 2, 4, 8, 16, 32
 
@@ -86,7 +91,10 @@ class Table:
         raw = np.fromiter(map(codes.__getitem__, kinds), np.uint8, len(kinds))
         self.langs.append(lang)
         self.raw.append(raw)
-        self.level.append(np.fromiter(map(codes.__getitem__, places.placed(kinds, lang)), np.uint8, len(kinds)))
+        named = places.placed(kinds, lang, np.flatnonzero(_signals(lang)[raw]).tolist())
+        level = raw.copy()
+        level[np.fromiter(named, np.int64, len(named))] = np.fromiter(map(codes.__getitem__, named.values()), np.uint8, len(named))
+        self.level.append(level)
         self.tokens += len(kinds) + 1
 
     def pairs(self) -> list[np.ndarray]:

@@ -110,6 +110,13 @@ def test_lexers_keep_every_character(parts, lang):
     assert all(text[a:b] == read.text(i) for i, (a, b) in enumerate(spans))
 
 
+def test_simple_scripts_are_lexed_as_all_others():
+    """A script without templates and slashes takes the short way; a division at its end sends it the long one."""
+    for text in [x for x in VALID[".js"] + INVALID[".js"] if "`" not in x and not x.startswith("#!")] + ["a\n.b\n(c)\n", "let x\nif = 1\n", "a?.if\n++b\n"]:
+        short, long = scan(text + "\n;q;q", "js", True), scan(text + "\n;q/q", "js", True)
+        assert [*zip(short.kinds, map(short.span, range(len(short.kinds))))][:-2] == [*zip(long.kinds, map(long.span, range(len(long.kinds))))][:-2]
+
+
 def test_peg_memo_and_pairs():
     g = Grammar("S = a T* 'b' | a c\nT = x (y | z)?\n")
     assert g.accepts("S", ["a", "x", "y", "x", "b"]) and g.accepts("S", ["a", "c"]) and not g.accepts("S", ["a", "x"])
