@@ -36,15 +36,20 @@ class CodeGraph:
         """Both tables written to the checkpoint folder, for searches that read them many times."""
         return CodeGraph(cut_lineage(self.nodes), cut_lineage(self.edges))
 
-    def hop(self, near: DataFrame, edge_type: str | None = None, outgoing: bool = True) -> DataFrame:
+    def hop(self, near: DataFrame, edge_type: str | None = None, outgoing: bool = True, few: bool = False) -> DataFrame:
         """``near(id, ...)`` -> its columns with ``neighbour_id``, ``edge_type`` and ``seq`` of each edge to a node.
 
-        The edges are cut to those of ``near``, which is broadcast if it is small, before any node is looked up.
+        The edges are cut to those of ``near``, which is broadcast if it is small (or known to be: ``few``), before
+        any node is looked up.
         """
+        met = self._met(F.broadcast(near) if few else small(near), edge_type, outgoing)
+        return met.join(self.nodes.select(F.col("id").alias("neighbour_id")), "neighbour_id", "left_semi")
+
+    def _met(self, near: DataFrame, edge_type: str | None, outgoing: bool) -> DataFrame:
+        """As ``hop``, whether or not the neighbour is a node."""
         here, there = ("source_id", "target_id") if outgoing else ("target_id", "source_id")
         e = self.edges if edge_type is None else self.edges.where(F.col("edge_type") == edge_type)
-        met = e.select(F.col(here).alias("id"), F.col(there).alias("neighbour_id"), "edge_type", "seq").join(small(near), "id")
-        return met.join(self.nodes.select(F.col("id").alias("neighbour_id")), "neighbour_id", "left_semi")
+        return e.select(F.col(here).alias("id"), F.col(there).alias("neighbour_id"), "edge_type", "seq").join(near, "id")
 
     def stats(self) -> DataFrame:
         """``(kind, type, n)`` of nodes and edges by type, with totals (type ``*``)."""
@@ -128,12 +133,13 @@ class CodeGraph:
         frontier = seen
         for depth in range(1, max_depth + 1):
             # The order within a level is that of the path of (way, seq) that led to a node.
-            near = frontier.select("id", F.col("found").alias("before"))
+            near = small(frontier.select("id", F.col("found").alias("before")))
             step = None
             for way, outgoing in enumerate((True, False)):
-                part = self.hop(near, None, outgoing).select(F.col("neighbour_id").alias("id"), "edge_type", F.concat("before", F.array(F.lit(way).cast("bigint"), "seq")).alias("found"))
+                part = self._met(near, None, outgoing).select(F.col("neighbour_id").alias("id"), "edge_type", F.concat("before", F.array(F.lit(way).cast("bigint"), "seq")).alias("found"))
                 step = part if step is None else step.unionByName(part)
-            new = step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min_by("edge_type", "found").alias("edge_type"), F.min("found").alias("found"))
+            new = step.groupBy("id").agg(F.min_by("edge_type", "found").alias("edge_type"), F.min("found").alias("found")).join(seen.select("id"), "id", "left_anti")
+            new = new.join(self.nodes.select("id"), "id", "left_semi")
             frontier = cut_lineage(new.select("id", F.lit(depth).alias("depth"), "edge_type", "found"))
             seen = seen.unionByName(frontier)
         return seen.where("depth > 0").select("id", "depth", "edge_type")

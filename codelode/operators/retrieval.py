@@ -45,7 +45,7 @@ def search(graph: CodeGraph, query: str, top_k: int | None = 10, depth: int = 2,
     near = a.withColumnRenamed("anchor", "id")
     end = lambda hop: hop.drop("id").withColumnRenamed("neighbour_id", "id")
     if callees:
-        one = end(graph.hop(near.select("id", "s", "rank"), "CALLS"))
+        one = end(graph.hop(near.select("id", "s", "rank"), "CALLS", few=True))
         if depth >= 2:
             one = cut_lineage(one)
         add(one, "callee", "callee", 1, 0, [F.col("seq"), zero])
@@ -53,14 +53,14 @@ def search(graph: CodeGraph, query: str, top_k: int | None = 10, depth: int = 2,
             two = end(graph.hop(one.select("id", "s", "rank", F.col("seq").alias("s1")), "CALLS"))
             add(two, "callee", "callee2", 2, 0, [F.col("s1"), F.col("seq")])
     if callers:
-        add(end(graph.hop(near.select("id", "s", "rank"), "CALLS", False)), "caller", "caller", 1, 1, [F.col("seq")])
+        add(end(graph.hop(near.select("id", "s", "rank"), "CALLS", False, few=True)), "caller", "caller", 1, 1, [F.col("seq")])
     if siblings:
-        p = graph.hop(near.select("id", "s", "rank"), "CONTAINS", False).groupBy(F.col("id").alias("anchor"), "s", "rank").agg(F.min_by("neighbour_id", "seq").alias("id"))
-        p = cut_lineage(p.join(graph.by_type("class").select("id"), "id", "left_semi"))
-        add(end(graph.hop(p, "CONTAINS")).where("id <> anchor"), "sibling", "sibling", 1, 2, [F.col("seq")])
-    of_file = near.select(F.concat(F.lit("file::"), "file_path").alias("id"), "s", "rank").join(graph.nodes.select("id"), "id", "left_semi")
-    add(end(graph.hop(of_file, "IMPORTS")), "import", "import", 1, 3, [F.col("seq")])
-    add(end(graph.hop(near.where("node_type = 'class'").select("id", "s", "rank"), "INHERITS")), "inherit", "inherit", 1, 4, [F.col("seq")])
+        p = graph.hop(near.select("id", "s", "rank"), "CONTAINS", False, few=True).groupBy(F.col("id").alias("anchor"), "s", "rank").agg(F.min_by("neighbour_id", "seq").alias("id"))
+        p = p.join(graph.by_type("class").select("id"), "id", "left_semi")  # one parent an anchor
+        add(end(graph.hop(p, "CONTAINS", few=True)).where("id <> anchor"), "sibling", "sibling", 1, 2, [F.col("seq")])
+    of_file = graph.nodes.select("id").join(F.broadcast(near.select(F.concat(F.lit("file::"), "file_path").alias("id"), "s", "rank")), "id")
+    add(end(graph.hop(of_file, "IMPORTS", few=True)), "import", "import", 1, 3, [F.col("seq")])
+    add(end(graph.hop(near.where("node_type = 'class'").select("id", "s", "rank"), "INHERITS", few=True)), "inherit", "inherit", 1, 4, [F.col("seq")])
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)

@@ -93,12 +93,12 @@ def find_callees_outer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bfs_min_depth(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d)
+    g = graph(spark, d).settled()
     return g.around(_start(g), 3).select("id", F.col("depth").cast("long"))
 
 
 def bfs_paths_distinct(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d)
+    g = graph(spark, d).settled()
     return g.paths_around(_start(g), 2).select("id", F.col("depth").cast("long"), "edge_type")
 
 
@@ -162,7 +162,7 @@ def siblings(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_search(spark: SparkSession, d: str) -> DataFrame:
     """Anchors of a question and what their hops reach, best first."""
-    r = retrieval.search(graph(spark, d), QUESTION, 10)
+    r = retrieval.search(graph(spark, d).settled(), QUESTION, 10)
     return r.select("id", F.round("score", 6).alias("score"), "source", F.col("depth").cast("long"))
 
 
