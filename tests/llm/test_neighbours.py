@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,37 @@ def test_visits_widen_until_recall_is_reached():
     tree = fit_tree(x, len(x), p)
     visits, recall = calibrate(tree, x, 5, p)
     assert tree.leaves >= visits > p.most_visits and recall >= p.target_recall
+
+
+def test_visits_take_bounded_memory():
+    x = unit(clustered(4000, 5)).astype(np.float32)
+    tree = fit_tree(x, 500_000, TreeParams(leaf_rows=200))
+    assert tree.leaves > 500
+    tracemalloc.start()
+    got = tree.visit(x, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got >= 0).all() and peak < 120e6
+
+
+def test_regions_and_blocks_change_nothing(spark):
+    x = clustered(2000, 6)
+    df = spark.createDataFrame([(s, "p", v.tolist()) for s, v in enumerate(x)], SCHEMA)
+    got = asked(df, leaf_rows=100, branches=8)
+    # Several regions of which some are one large leaf, met block by block.
+    assert asked(df, leaf_rows=100, branches=8, block_rows=2) == got
+
+
+def test_tree_of_a_sample_reaches_recall_of_the_table(spark):
+    x = clustered(3000, 7)
+    rows = dict(enumerate(x))
+    df = spark.createDataFrame([(s, "p", v.tolist()) for s, v in rows.items()], SCHEMA)
+    want = brute(rows)
+    assert len(asked(df, leaf_rows=100, branches=8, sample_rows=600) & want) / len(want) >= 0.95
+
+
+def test_many_vectors_of_one_direction(spark):
+    x = clustered(1, 8)[0]
+    rows = {i: x * np.float32(1 + i / 64) for i in range(1500)}
+    df = spark.createDataFrame([(s, "p", v.tolist()) for s, v in rows.items()], SCHEMA)
+    assert asked(df) == {(a, b) for a in rows for b in [n for n in range(6) if n != a][:5]}
