@@ -280,8 +280,8 @@ class Best:
         return least
 
     def _merge(self, asking: np.ndarray, at: np.ndarray, others: "Best", answering: np.ndarray, of: np.ndarray) -> None:
-        for lo in range(0, len(at), 200_000):
-            self._merge_part(asking[at[lo : lo + 200_000]], others, answering[of[lo : lo + 200_000]])
+        for lo in range(0, len(at), 50_000):
+            self._merge_part(asking[at[lo : lo + 50_000]], others, answering[of[lo : lo + 50_000]])
 
     def _merge_part(self, r: np.ndarray, others: "Best", c: np.ndarray) -> None:
         exact = np.rint(np.einsum("ij,ij->i", self.unit(r), others.unit(c)) * PARTS).astype(np.int32)
