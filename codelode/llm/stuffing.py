@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,8 +42,7 @@ class StuffingParams:
 
 
 _END = re.compile(r"[.!?…]+[\"'»”)]*$")
-_INSIDE = re.compile(r"[.!?…][\"'»”)]*\s")
-_CORE = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
+_CORE = re.compile(r"\w(?:.*\w)?", re.S)
 _URL = re.compile(r"https?://|www\.|^[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/|$)", re.I)
 _FILE = re.compile(r"\.(?:py|js|go|java|json|md|txt|yml|c|h|rs|html?)$|^[\w.]+/[\w/.]+\.\w{1,5}$", re.I)
 _NUMBER = re.compile(r"^[\d.,:%+-]*\d[\d.,:%]*$")
@@ -52,6 +52,9 @@ _MARKS = {",": ",", ".": ".", "!": ".", "?": ".", "…": ".", ":": ":", "-": "-"
 _MONEY = {"eur", "usd", "gbp", "chf"}
 
 
+_BRACKET = re.compile(r"[=(){}\[\]<>]")
+_DIGIT = re.compile(r"\d")
+_PARTS = re.compile(r"([-'’/.:])")
 _LIST = re.compile(r"([,|;])")
 _LINKS = re.compile(r"([,|;])(?=https?://|www\.)", re.I)
 _DATA = re.compile(r"(data:[\w/+.=-]*(?:;[\w=-]+)*;base64,[\w+/=-]*)")
@@ -93,15 +96,15 @@ class Words:
             return [CODE["N"]]
         if low in _MONEY:
             return [CODE["$"]]
-        bracketed = re.search(r"[=(){}\[\]<>]", core)
+        bracketed = _BRACKET.search(core)
         if not bracketed and _LIST.search(core):
             # Words joined without blanks are words all the same.
             return [c for x in _LIST.split(core) if x for c in ([CODE[_MARKS[x]]] if x in _MARKS else self.piece(x))]
         if bracketed or "_" in core or _CAMEL.search(core) or _FILE.search(core):
             return [CODE["I"]]
-        if re.search(r"\d", core):
+        if _DIGIT.search(core):
             return [CODE["X"]]
-        parts = [p for p in re.split(r"([-'’/.:])", core) if p]
+        parts = [p for p in _PARTS.split(core) if p]
         return [CODE[_MARKS[p]] if p in _MARKS else self.word(p.lower()) for p in parts]
 
     def piece(self, piece: str) -> bytes:
@@ -111,16 +114,17 @@ class Words:
             return b"".join(bytes([CODE["X"]]) if k % 2 else self.piece(x) for k, x in enumerate(parts) if x)
         if len(piece) >= LONG:
             return self.long(piece)
-        if _URL.search(piece) and not _FILE.search(piece.strip(".,;:()[]")):
+        if ("." in piece or "://" in piece) and _URL.search(piece) and not _FILE.search(piece.strip(".,;:()[]")):
             if _LINKS.search(piece):
                 return b"".join(bytes([CODE[_MARKS[x]]]) if x in _MARKS else self.piece(x) for x in _LINKS.split(piece) if x)
             lead = b"" if piece[0].isalnum() else bytes([CODE[_MARKS.get(piece[0], "=")]])
             return lead + bytes([CODE["U"]])
-        lead, core, tail = _CORE.match(piece).groups()
-        out = [CODE[_MARKS.get(c, "=")] for c in lead]
-        if core:
-            out += self.core(core)
-        out += [CODE[_MARKS.get(c, "=")] for c in tail]
+        core = _CORE.search(piece)
+        if not core:
+            return bytes([CODE[_MARKS.get(c, "=")] for c in piece])
+        out = [CODE[_MARKS.get(c, "=")] for c in piece[: core.start()]]
+        out += self.core(core[0])
+        out += [CODE[_MARKS.get(c, "=")] for c in piece[core.end() :]]
         return bytes(out)
 
     def long(self, piece: str) -> bytes:
@@ -140,21 +144,29 @@ class Words:
         return b"".join(out)
 
 
-_LOG = re.compile(r"^\W*\d{1,2}:\d{2}(?::\d{2})?\b|\b(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|PASS|FAIL|FAILED|SKIP|OK)\b|^\s*(?:File \"|Traceback|at [\w.$]+\()|^\s*(?:[-+@]{2,}|diff )")
+_LOG = re.compile(r"\W*\d{1,2}:\d{2}(?::\d{2})?\b|\s*(?:File \"|Traceback|at [\w.$]+\(|[-+@]{2,}|diff )")
+#: Each word begins with its letter and not with a word boundary, so that a search skips to such letters.
+_LEVEL = re.compile("(?:" + "|".join(rf"{w[0]}(?<!\w{w[0]}){w[1:]}" for w in ("DEBUG", "INFO", "WARN", "WARNING", "ERROR", "FATAL", "PASS", "FAIL", "FAILED", "SKIP", "OK")) + r")\b")
 _STARTS = ("import", "from", "break", "package", "raise", "return", "#", "//")
 _STATEMENT = re.compile(r"\s*(?:(?:import|from|break|package|raise)\s+[\w.]+\s*(?:import\b.*|\(.*|;)?$|return\b.*[\w)\]};]$|#\s|//)")
-_CODE = re.compile(r"[{};=]\s*$|\w\(.*\)|\s[=!<>+*/%&|-]?=\s|^\s*(?:import|from|return|assert|def|class|func|while|for|if|try|raise|break|package|const|var|let|public|private)\b.*[:;(){}=]?$|->|=>|^\s*(?:#|//)\s|\w_\w*\s*[=(]")
+_SIGN = re.compile(r"[(){}=;%]")
+_KEYWORD = re.compile(r"\s*(?:(?:import|from|return|assert|def|class|func|while|for|if|try|raise|break|package|const|var|let|public|private)\b|(?:#|//)\s)")
+_CALL = re.compile(r"\((?<=\w\().*\)")
+_ASSIGNED = re.compile(r"=(?:(?<=\s=)|(?<=\s[=!<>+*/%&|-]=))\s")
+_NAMED = re.compile(r"_(?<=\w_)\w*\s*[=(]")
 
 
 def technical(line: str, fenced: bool) -> bool:
     """Logs, traces, code and tables: not sentences, but not stuffing either."""
-    if fenced or line.startswith(("|", "    ", "\t")) or _LOG.search(line):
+    if fenced or line.startswith(("|", "    ", "\t")) or _LOG.match(line) or _LEVEL.search(line):
         return True
     if "://" in line or "](" in line:
         return False
     if line.lstrip().startswith(_STARTS) and _STATEMENT.match(line):
         return True
-    return any(c in line for c in "(){}=;%") and bool(_CODE.search(line))
+    if not _SIGN.search(line):
+        return False
+    return bool(line.rstrip()[-1] in "{};=" or _KEYWORD.match(line) or "->" in line or "=>" in line or "(" in line and _CALL.search(line) or "=" in line and _ASSIGNED.search(line) or "_" in line and _NAMED.search(line))
 
 
 _LINK_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])?\s*(?:\[[^\]]*\]\(\S+\)|<?\w+://\S+>?)[.,;]?\s*$")
@@ -162,7 +174,7 @@ _TAG = re.compile(r"</?(?:p|b|i|u|em|strong|div|span|code|blockquote|h\d)(?:\s[^
 
 
 class _Known(dict):
-    """Piece to codes; long pieces, and those beyond ``most``, are classed anew each time."""
+    """Piece to codes, with an edge after a piece that ends a sentence; long pieces, and those beyond ``most``, are classed anew each time."""
 
     most = 400_000
 
@@ -170,12 +182,16 @@ class _Known(dict):
         self.words = words
 
     def __missing__(self, piece: str) -> bytes:
-        c = self.words.piece(piece)
+        c = ended(piece, self.words.piece(piece))
         if len(self) < self.most and len(piece) < 40:
             self[piece] = c
         return c
 
 
+def ended(piece: str, codes: bytes) -> bytes:
+    return codes + b"\0" if piece[-1] in ".!?…\"'»”)" and _END.search(piece) else codes
+
+
 class Reader:
     """Texts to class codes, unit by unit; pieces seen before are looked up."""
 
@@ -186,16 +202,20 @@ class Reader:
         self.page: dict[str, bytes] = {}  # pieces of this page that hold a repeated word
 
     def codes(self, pieces: list[str]) -> bytes:
+        """Codes of the pieces of a line, whose sentences are parted by edges."""
         known, page = self.known, self.page
         if page:
-            return b"".join([page[x] if x in page else known[x] for x in pieces])
-        return b"".join(map(known.__getitem__, pieces))
+            c = b"".join([page[x] if x in page else known[x] for x in pieces])
+        else:
+            c = b"".join(map(known.__getitem__, pieces))
+        return c[:-1] if c[-1:] == b"\0" else c
 
     def turn(self, text: str) -> None:
         """Looks up what a page repeats: words of four letters, and of three that are not frequent in sentences."""
         p = self.p
-        count = Counter(letters(text.lower()))
-        least = max(p.least_often, p.often * count.total())
+        found = letters(text.lower())
+        count = Counter(found)
+        least = max(p.least_often, p.often * len(found))
         often = frozenset(w for w, n in count.items() if n >= least and (len(w) > p.short or len(w) == p.short and w not in self.words.frequent))
         self.page = {}
         if often:
@@ -203,7 +223,7 @@ class Reader:
             for x in {*text.split()}:
                 core = x.lower().strip(_EDGES)
                 if core in often or not core.isalpha() and len(x) < LONG and not often.isdisjoint(letters(core)):
-                    self.page[x] = words.piece(x)
+                    self.page[x] = ended(x, words.piece(x))
 
     def references(self, lines: list[str]) -> set[int]:
         """Lines of link lists that a short heading with a colon introduces, if they are short."""
@@ -249,37 +269,26 @@ class Reader:
         lines = text.split("\n")
         references = self.references(lines) if "://" in text else ()
         for at_line, line in enumerate(lines):
-            if line.lstrip().startswith("```"):
-                close()
-                fenced = not fenced
-                continue
             pieces = line.split()
             if not pieces:
                 close()
                 continue
-            size = sum(map(len, pieces)) + len(pieces)
-            if at_line in references:
+            if pieces[0].startswith("```"):
                 close()
-                held.append(self.codes(pieces))
-                chars = size
-                close(2)
+                fenced = not fenced
                 continue
-            if technical(line, fenced):
+            size = len("".join(pieces)) + len(pieces)
+            c = self.codes(pieces)
+            kind = 2 if at_line in references else int(technical(line, fenced))
+            if kind:
                 close()
-                held.append(self.codes(pieces))
+                held.append(c.replace(b"\0", b""))
                 chars = size
-                close(1)
+                close(kind)
                 continue
             if len(pieces) >= self.p.unit_words:
                 close()
-            # Sentences of a line are parted by edges inside the unit.
-            at = 0
-            if _INSIDE.search(line):
-                for i, x in enumerate(pieces):
-                    if i + 1 < len(pieces) and x[-1] in ".!?…\"'»”)" and _END.search(x):
-                        held.append(self.codes(pieces[at : i + 1]))
-                        at = i + 1
-            held.append(self.codes(pieces[at:]))
+            held.append(c)
             chars, words = chars + size, words + len(pieces)
             if words >= self.p.unit_words:
                 close()
@@ -287,7 +296,8 @@ class Reader:
         return b"".join(codes), lengths, sizes, kinds
 
 
-READ = "doc_id long, codes binary, lengths array<int>, sizes array<int>, kinds array<int>"
+#: Lengths and sizes as 32-bit integers, kinds as bytes.
+READ = "doc_id long, codes binary, lengths binary, sizes binary, kinds binary"
 
 
 _SENTENCE = re.compile(r"(?<![^\s>*-])[^\W\d_a-z][^.!?\n|<>]{30,}[.!?](?=\s|$)")
@@ -299,11 +309,10 @@ def _sentences(p: StuffingParams):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict[str, Counter] = {}
         for pdf in batches:
-            held: dict[str, list[str]] = {}
             for lang, text in zip(pdf["lang"], pdf["text"]):
-                held.setdefault((lang or "").strip().lower(), []).extend(x for x in _SENTENCE.findall(text) if x.count(" ") >= p.sentence_words)
-            for lang, found in held.items():
-                n.setdefault(lang, Counter()).update(letters("\n".join(found).lower()))
+                # Page by page: the words of many pages at once are slow to make.
+                if found := [x for x in _SENTENCE.findall(text) if x.count(" ") >= p.sentence_words]:
+                    n.setdefault((lang or "").strip().lower(), Counter()).update(letters("\n".join(found).lower()))
         rows = [(lang, w, k) for lang, c in n.items() for w, k in c.items()]
         yield pd.DataFrame(rows, columns=["lang", "word", "n"]).astype({"n": "int64"})
 
@@ -329,36 +338,40 @@ def _read(p: StuffingParams, frequent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(p, frequent.value)
         for pdf in batches:
-            yield pd.DataFrame([(k, *reader.units(t)) for k, t in zip(pdf["doc_id"], pdf["text"])], columns=["doc_id", "codes", "lengths", "sizes", "kinds"])
+            rows = []
+            for k, text in zip(pdf["doc_id"], pdf["text"]):
+                codes, lengths, sizes, kinds = reader.units(text)
+                rows.append((k, codes, array("i", lengths).tobytes(), array("i", sizes).tobytes(), bytes(kinds)))
+            yield pd.DataFrame(rows, columns=["doc_id", "codes", "lengths", "sizes", "kinds"])
 
     return run
 
 
 def runs(codes: np.ndarray) -> np.ndarray:
     """Open-class words told apart by their place in an unbroken run of them."""
-    is_open = codes == OPEN
-    at = np.arange(len(codes))
-    since = at - np.maximum.accumulate(np.where(is_open, -1, at))
-    return np.where(is_open, OPEN + np.minimum(since, LONGEST_RUN) - 1, codes).astype(np.int64)
+    run = (codes == OPEN).view(np.uint8)
+    c = codes.copy()
+    for _ in range(LONGEST_RUN - 1):
+        # Whether the words before are open too, one more each time.
+        run = run[1:] & run[:-1]
+        c[len(c) - len(run) :] += run
+    return c
 
 
 def trigrams(codes: np.ndarray) -> np.ndarray:
     c = runs(codes)
-    a = np.concatenate(([0, 0], c[:-2])) if len(c) > 1 else np.zeros(len(c), np.int64)
-    b = np.concatenate(([0], c[:-1]))
+    out = c.astype(np.uint16)
+    out[1:] += c[:-1] * np.uint16(len(CLASSES))
     # A sentence starts anew at each edge: what stands before the edge is not seen.
-    a = np.where(b == 0, 0, a)
-    return (a * len(CLASSES) + b) * len(CLASSES) + c
+    out[2:] += c[:-2] * (c[1:-1] != 0) * np.uint16(len(CLASSES) ** 2)
+    return out
 
 
 def _batch(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes of a batch with, for each unit, where it starts, its row, characters and kind."""
-    codes = np.frombuffer(b"".join(pdf["codes"]), dtype=np.uint8)
-    count = np.array([len(x) for x in pdf["lengths"]], dtype=np.int64)
-    lengths = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["lengths"]]) if count.sum() else np.zeros(0, np.int64)
-    sizes = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["sizes"]]) if count.sum() else lengths
-    kinds = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["kinds"]]) if count.sum() else lengths
-    return codes, np.cumsum(lengths) - lengths, np.repeat(np.arange(len(pdf)), count), sizes, kinds
+    codes, lengths, sizes, kinds = (np.frombuffer(b"".join(pdf[c]), dtype=t) for c, t in (("codes", np.uint8), ("lengths", np.int32), ("sizes", np.int32), ("kinds", np.uint8)))
+    count = np.array([len(x) for x in pdf["kinds"]], dtype=np.int64)
+    return codes, np.cumsum(lengths, dtype=np.int64) - lengths, np.repeat(np.arange(len(pdf)), count), sizes, kinds
 
 
 _WORDS = np.isin(np.arange(len(CLASSES)), [FUNCTION, LONGER, SHORT, OPEN])
@@ -370,9 +383,7 @@ def _prose(codes: np.ndarray, start: np.ndarray, kinds: np.ndarray, p: StuffingP
     if not len(start):
         return np.zeros(0, bool)
     total = np.diff(np.append(start, len(codes)))
-    words = np.add.reduceat(_WORDS[codes].astype(np.int64), start)
-    stop = np.add.reduceat((codes == CODE["."]).astype(np.int64), start)
-    odd = np.add.reduceat(_ODD[codes].astype(np.int64), start)
+    words, stop, odd = (np.add.reduceat(x, start, dtype=np.int64) for x in (_WORDS[codes], codes == CODE["."], _ODD[codes]))
     return (kinds == 0) & (stop > 0) & (odd == 0) & (words >= p.sentence_words * stop) & (words * 2 > total)
 
 
@@ -385,17 +396,22 @@ HISTORY = 5  # words before a word that say whether a function word is due
 CELLS, FUNCTION_CELLS = len(CLASSES) ** 3, 2 ** (HISTORY + 1)
 
 
-def function_sequence(codes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its unit, and the cell of (is it open, were the words before it in the unit open)."""
-    at = np.flatnonzero(_WORDS[codes])
-    unit = np.searchsorted(start, at, side="right") - 1
-    is_open = (codes[at] == OPEN).astype(np.int64)
-    place = np.arange(len(at)) - np.searchsorted(unit, unit)
+def words_at(codes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words stand, and for each its unit and its place among the unit's words."""
+    is_word = _WORDS[codes]
+    n = np.add.reduceat(is_word, start, dtype=np.int64)
+    at = np.flatnonzero(is_word)
+    return at, np.repeat(np.arange(len(start)), n), np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def function_cells(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For the code of each word the cell of (is it open, were the words before it in the unit open)."""
+    is_open = (words == OPEN).view(np.uint8)
     cell = is_open.copy()
+    place = np.minimum(place, HISTORY).astype(np.uint8)
     for j in range(1, HISTORY + 1):
-        before = np.concatenate((np.zeros(j, np.int64), is_open[:-j]))[: len(at)]
-        cell += np.where(place >= j, before, 0) << j
-    return unit, cell
+        cell[j:] |= (is_open[:-j] & (place[j:] >= j)) << np.uint8(j)
+    return cell
 
 
 def _count(p: StuffingParams):
@@ -408,10 +424,11 @@ def _count(p: StuffingParams):
             if len(start):
                 prose = _prose(codes, start, kinds, p)
                 take = np.repeat(prose, np.diff(np.append(start, len(codes))))
+                at, unit, place = words_at(codes, start)
+                own = prose[unit]
                 for c in (codes, _UNKNOWN[codes]):
                     n[:CELLS] += np.bincount(trigrams(c)[take], minlength=CELLS)
-                    unit, cell = function_sequence(c, start)
-                    n[CELLS:] += np.bincount(cell[prose[unit]], minlength=FUNCTION_CELLS)
+                    n[CELLS:] += np.bincount(function_cells(c[at], place)[own], minlength=FUNCTION_CELLS)
         cell = np.flatnonzero(n)
         yield pd.DataFrame({"cell": cell, "n": n[cell]})
 
@@ -449,19 +466,20 @@ def _unit_sums(pdf: pd.DataFrame, model: Model, p: StuffingParams):
     codes, start, row, sizes, kinds = _batch(pdf)
     if not len(start):
         return None
-    unit, cell = function_sequence(codes, start)
+    at, unit, place = words_at(codes, start)
+    cell = function_cells(codes[at], place)
     by_unit = lambda x: np.bincount(unit, x, len(start))
     bits = np.add.reduceat(model.bits[trigrams(codes)], start)
     return bits, np.diff(np.append(start, len(codes))), by_unit(model.excess[cell]), by_unit(model.variance[cell]), np.bincount(unit, minlength=len(start)), row, sizes, kinds, _prose(codes, start, kinds, p)
 
 
-def around(x: np.ndarray, row: np.ndarray, reach: int) -> np.ndarray:
+def around(row: np.ndarray, reach: int, *sums: np.ndarray) -> list[np.ndarray]:
     """Sums over each unit and up to ``reach`` units of its page before and after."""
-    total = np.concatenate(([0.0], np.cumsum(x)))
     at = np.arange(len(row))
     lo = np.maximum(at - reach, np.searchsorted(row, row))
     hi = np.minimum(at + reach + 1, np.searchsorted(row, row, side="right"))
-    return total[hi] - total[lo]
+    totals = (np.concatenate(([0.0], np.cumsum(x))) for x in sums)
+    return [total[hi] - total[lo] for total in totals]
 
 
 def _moments(model, p: StuffingParams):
@@ -476,7 +494,8 @@ def _moments(model, p: StuffingParams):
                 m, w = bits[prose] / n[prose], n[prose]
                 own = np.flatnonzero(kinds == 0)
                 z = np.zeros(len(n))
-                z[own] = around(excess[own], row[own], p.reach) / np.sqrt(np.maximum(around(variance[own], row[own], p.reach), 1e-9))
+                e, v = around(row[own], p.reach, excess[own], variance[own])
+                z[own] = e / np.sqrt(np.maximum(v, 1e-9))
                 s += (len(m), w.sum(), (m * w).sum(), (m * m * w).sum(), z[prose].sum(), (z[prose] ** 2).sum())
         yield pd.DataFrame([s], columns=["units", "n", "sum", "squares", "f_sum", "f_squares"])
 
@@ -512,8 +531,9 @@ def _judge(model, s: Spread, p: StuffingParams):
             z = (bits / n - s.mean) / s.spread * np.sqrt(n)
             own = np.flatnonzero(kinds == 0)
             due, share = np.zeros(len(n)), np.zeros(len(n))
-            due[own] = around(excess[own], row[own], p.reach) / np.sqrt(np.maximum(around(variance[own], row[own], p.reach), 1e-9))
-            share[own] = around(words[own], row[own], p.reach) / around(n[own], row[own], p.reach)
+            e, v, some, every = around(row[own], p.reach, excess[own], variance[own], words[own], n[own])
+            due[own] = e / np.sqrt(np.maximum(v, 1e-9))
+            share[own] = some / every
             missing = (due - s.f_mean) / s.f_spread
             rare = (z > p.z_high) | (z < p.z_low)
             odd = (kinds == 0) & ((missing > p.z_missing) | rare & ((missing > p.z_function) | (share < p.few_words) & ((missing > 0) | (share < p.no_words))))
